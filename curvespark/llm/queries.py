@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import importlib
-import importlib.util
 
 #: Module and function of each query, in the operators' order.
 OPERATORS = (
@@ -13,10 +12,15 @@ OPERATORS = (
 
 
 def queries() -> dict:
-    out = {name: getattr(importlib.import_module(f"{__package__}.{module}"), name) for module, name in OPERATORS if importlib.util.find_spec(f"{__package__}.{module}")}
-    return out
+    import corpus_pipeline
+
+    out = {name: getattr(importlib.import_module(f"{__package__}.{module}"), name) for module, name in OPERATORS}
+    return out | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {name: getattr(importlib.import_module(f"{__package__}.{module}"), "SQL", None) for module, name in OPERATORS if importlib.util.find_spec(f"{__package__}.{module}")}
+    import corpus_pipeline
+
+    out = {name: getattr(importlib.import_module(f"{__package__}.{module}"), "SQL", None) for module, name in OPERATORS}
+    out["pipeline"] = corpus_pipeline.ORACLE_SQL
     return {k: v for k, v in out.items() if v}
