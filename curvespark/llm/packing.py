@@ -26,6 +26,8 @@ from . import common
 WINDOW, BLOCK_TOKENS, STEP = 2048, 4_000_000, 8
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, step_group long"
 CACHE = 400_000
+#: Marks that form a piece of their own after a word's letters.
+TAIL = ".,!?;:|*$#%&"
 
 
 class WordEncoder:
@@ -40,6 +42,8 @@ class WordEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = np.array([end_id], "<u4")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
@@ -47,15 +51,49 @@ class WordEncoder:
         if any(s in text for s in self.special):
             ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
             return np.concatenate((ids, self.end))
-        parts, known = text.split(), self.known
-        missing = [w for w in set(parts) if w not in known]
-        if missing:
-            if len(known) + len(missing) > CACHE:
-                known.clear()
-                missing = list(set(parts))
-            for w, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return np.concatenate((np.frombuffer(b"".join([known[w] for w in parts]), "<u4"), self.end))
+        # case only differs by single letters, but for these two
+        low = text if "\u03a3" in text or "\u0130" in text else text.lower()
+        parts = low.split()
+        return np.concatenate((np.frombuffer(b"".join(self.learned(parts)), "<u4"), self.end))
+
+    def learned(self, parts: list[str]) -> list[bytes]:
+        try:
+            return [self.known[w] for w in parts]
+        except KeyError:
+            pass
+        if len(self.known) > CACHE:
+            self.older, self.known = self.known, {}
+        known, older, new, split = self.known, self.older, set(), []
+        for w in set(parts):
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                elif w.isalpha():
+                    new.add(w)
+                else:
+                    core = w.rstrip(TAIL)
+                    split.append((w, core))
+                    tail = w[len(core) :]
+                    if core and tail and tail not in self.tails:
+                        self.tails[tail] = self.one(tail)
+                    if core.isalpha() and core not in known:
+                        new.add(core)
+        if new:  # letters are one piece each, so the pieces of a joined text are the words
+            words = list(new)
+            e = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+            at = np.concatenate((np.flatnonzero(np.diff(np.array(e.word_ids), prepend=-1)), [len(e.ids)])) if e.ids else [0]
+            ids = np.array(e.ids, "<u4")
+            if len(at) == len(words) + 1:
+                for i, w in enumerate(words):
+                    known[w] = ids[at[i] : at[i + 1]].tobytes()
+            else:
+                known.update((w, self.one(w)) for w in words)
+        for w, core in split:
+            known[w] = known[core] + self.tails[w[len(core) :]] if core.isalpha() and w != core else self.one(w)
+        return [known[w] for w in parts]
+
+    def one(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def plan(lengths: np.ndarray, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
@@ -105,11 +143,17 @@ def plan(lengths: np.ndarray, window: int = WINDOW) -> list[list[tuple[int, int,
     return out
 
 
+#: A worker's encoders stay for its next tasks.
+_READY: dict[tuple[str, int], WordEncoder] = {}
+
+
 def packer(path: str, window: int = WINDOW, end_id: int = 1, block_tokens: int = BLOCK_TOKENS):
     def run(batches):
         from pyspark import TaskContext
 
-        encode = WordEncoder(path, end_id)
+        if (path, end_id) not in _READY:
+            _READY[path, end_id] = WordEncoder(path, end_id)
+        encode = _READY[path, end_id]
         base, count = TaskContext.get().partitionId() << 32, 0
 
         def flush(held):
