@@ -1,17 +1,21 @@
-"""All queries of the engine's own operators."""
+"""All queries of the engine's own operators, and their SQL twins."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from curvespark.plans import kernels, native
+
+assert kernels  # registers its queries
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["cosine_topk"](spark, sf_dir)
+    return native.QUERIES["certified_range"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(native.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(native.SQL)
