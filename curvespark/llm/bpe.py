@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding by prefix-sharing trie traversal.
 
-The distinct words of a batch go into a byte trie. A depth-first walk keeps, for each prefix, the last token
-of its encoding: the longest suffix token that is a valid neighbour of the last token of the prefix before
-it. A word's ids are read off by following last tokens backwards, and a prefix that words share is encoded
-once. Two neighbours are valid if merging their bytes yields just these two tokens again.
+The distinct words of a batch form a byte trie, held as sorted words with their branch points. A depth-first
+walk keeps, for each prefix, the last token of its encoding: the longest suffix token that is a valid
+neighbour of the last token of the prefix before it. A word's ids are read off by following last tokens
+backwards, and a prefix that words share is encoded once. Two neighbours are valid if merging their bytes yields just these two tokens again.
 Null and empty texts have no ids. Texts of any length are encoded whole; strings of added tokens become
 those tokens, as the tokenizers library does by default.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ from . import common
 #: The published split pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct words that a worker keeps; the rest are encoded again when they come back.
-CACHE = 500_000
+CACHE = 300_000
 
 
 def printable_bytes() -> dict[str, int]:
@@ -57,15 +58,8 @@ class TrieBPE:
             self.bytes_of[i] = s.encode()
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.find = regex.compile(PATTERN).findall
-        # suffix tokens: reversed bytes -> id, walked from the end of a prefix
-        self.tails: dict = {}
-        for b, i in self.id_of.items():
-            if b:
-                at = self.tails
-                for c in reversed(b):
-                    at = at.setdefault(c, {})
-                at[-1] = i
         self.known: dict[str, tuple[str, int, bytes]] = {}
+        self.older: dict[str, tuple[str, int, bytes]] = {}
 
     def merges(self, data: bytes) -> list[int]:
         """Merging by rank, for the pair test."""
@@ -87,98 +81,97 @@ class TrieBPE:
             ids = out
         return ids
 
-    def neighbours(self, a: int, b: int) -> bool:
-        ok = self.valid.get((a, b))
-        if ok is None:
-            if len(self.valid) > 2_000_000:
-                self.valid.clear()
-            ok = self.valid[a, b] = self.merges(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+    def neighbours(self, key: int) -> bool:
+        """Whether token key % 2**32 stands alone at a begin (key < 2**32), or may follow token key // 2**32 - 1."""
+        a, b = (key >> 32) - 1, key & 0xFFFFFFFF
+        if len(self.valid) > 2_000_000:
+            self.valid.clear()
+        if a < 0:
+            ok = self.merges(self.bytes_of[b]) == [b]
+        else:
+            ok = self.merges(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        self.valid[key] = ok
         return ok
 
-    def whole(self, i: int) -> bool:
-        ok = self.valid.get((i, -1))
-        if ok is None:
-            ok = self.valid[i, -1] = self.merges(self.bytes_of[i]) == [i]
-        return ok
-
-    def last(self, prefix: bytes, lasts: list[int]) -> int:
-        """Last token of prefix's encoding; lasts[j] is that of its first j + 1 bytes."""
-        at, n, fits = self.tails, len(prefix), []
-        for j in range(n - 1, max(-1, n - 1 - self.longest), -1):
-            at = at.get(prefix[j])
-            if at is None:
-                break
-            if -1 in at:
-                fits.append((j, at[-1]))
-        for j, token in reversed(fits):
-            if self.whole(token) and (j == 0 or self.neighbours(lasts[j - 1], token)):
-                return token
-        raise ValueError("a byte without a token")
-
     def encode_words(self, words: list[bytes]) -> dict[bytes, list[int]]:
-        """Ids of distinct words: trie, depth-first walk, last tokens."""
-        trie: dict = {}
-        for w in words:
-            at = trie
-            for c in w:
-                at = at.setdefault(c, {})
-            at[-1] = w
-        out, lasts, prefix = {}, [], bytearray()
-        stack = [iter(trie.items())]
-        while stack:
-            step = next(stack[-1], None)
-            if step is None:
-                stack.pop()
-                if prefix:
-                    prefix.pop()
-                    lasts.pop()
-                continue
-            c, below = step
-            if c == -1:
-                ids, end = [], len(prefix)
-                while end:
-                    ids.append(lasts[end - 1])
-                    end -= len(self.bytes_of[lasts[end - 1]])
-                out[below] = ids[::-1]
-                continue
-            prefix.append(c)
-            lasts.append(self.last(bytes(prefix[-self.longest :]), lasts[-self.longest :]) if len(prefix) > self.longest else self.last(bytes(prefix), lasts))
-            stack.append(iter(below.items()))
+        """Ids of distinct words. In sorted order they are the leaves of their trie from left to right: the walk
+        keeps the last tokens of the current path and drops those below the branch to the next word."""
+        out, lasts, before = {}, [], b""
+        token_of, valid, longest, bytes_of = self.id_of.get, self.valid.get, self.longest, self.bytes_of
+        for word in sorted(words):
+            branch, most = 0, min(len(before), len(word))
+            while branch < most and before[branch] == word[branch]:
+                branch += 1
+            del lasts[branch:]
+            for end in range(branch + 1, len(word) + 1):
+                for start in range(max(0, end - longest), end):
+                    token = token_of(word[start:end])
+                    if token is None:
+                        continue
+                    key = (lasts[start - 1] + 1 if start else 0) << 32 | token
+                    ok = valid(key)
+                    if ok if ok is not None else self.neighbours(key):
+                        lasts.append(token)
+                        break
+                else:
+                    raise ValueError("a byte without a token")
+            ids, end = [], len(word)
+            while end:
+                ids.append(lasts[end - 1])
+                end -= len(bytes_of[lasts[end - 1]])
+            out[word] = ids[::-1]
+            before = word
         return out
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = list(words)
-        for data, ids in self.encode_words([w.encode() for w in new]).items():
-            self.known[data.decode()] = (",".join(map(str, ids)), len(ids), b"".join([self.bytes_of[i] for i in ids]))
-
-    def encode(self, text: str | None) -> tuple[str, int, str]:
-        """(decimal ids joined by commas, their number, the text decoded from the ids)."""
-        if not text:
-            return "", 0, ""
-        pieces = []
-        for part in self.cut.split(text) if self.cut else [text]:
-            if part in self.added:
-                i = self.added[part]
-                pieces.append((str(i), 1, self.bytes_of[i]))
-            elif part:
-                words = self.find(part)
-                self.learn(set(words))
-                known = self.known
-                pieces += [known[w] for w in words]
-        return ",".join([p[0] for p in pieces]), sum([p[1] for p in pieces]), b"".join([p[2] for p in pieces]).decode("utf-8", "replace")
+    def learn(self, words: set[str]) -> dict[str, tuple[str, int, bytes]]:
+        """What is known of the words; of others a worker keeps the two last generations of CACHE words."""
+        if len(self.known) > CACHE:
+            self.older, self.known = self.known, {}
+        known, older, new = self.known, self.older, []
+        for w in words:
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    new.append(w.encode("utf-8", "replace"))
+        bytes_of = self.bytes_of
+        for data, ids in self.encode_words(new).items():
+            known[data.decode()] = (",".join(map(str, ids)), len(ids), b"".join([bytes_of[i] for i in ids]))
+        return known
+
+    def encode_all(self, texts: list) -> Iterator[tuple[str, int, str]]:
+        """For each text: decimal ids joined by commas, their number, the text decoded from the ids."""
+        split, distinct = [], set()
+        for text in texts:
+            words: list = []
+            for part in self.cut.split(text or "") if self.cut else [text or ""]:
+                words += [self.added[part]] if part in self.added else self.find(part)
+            split.append(words)
+            distinct.update(words)
+        added = {w for w in distinct if isinstance(w, int)}
+        known = self.learn(distinct - added)
+        if added:
+            known = known | {i: (str(i), 1, self.bytes_of[i]) for i in added}
+        for words in split:
+            pieces = [known[w] for w in words]
+            ids, sizes, raw = zip(*pieces) if pieces else ((), (), ())
+            yield ",".join(ids), sum(sizes), b"".join(raw).decode("utf-8", "replace")
+
+
+#: A worker's encoders stay for its next tasks.
+_READY: dict[str, TrieBPE] = {}
 
 
 def coder(path: str):
     def run(batches):
-        bpe = TrieBPE(path)
+        if path not in _READY:
+            _READY[path] = TrieBPE(path)
+        bpe = _READY[path]
         for batch in batches:
-            out = []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                ids, n, back = bpe.encode(text)
-                out.append((doc, n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode("utf-8", "replace")).hexdigest()))
+            out, texts = [], batch["text"].tolist()
+            for a, b in common.slices(texts, 2_000_000):
+                for doc, (ids, n, back) in zip(batch["doc_id"][a:b], bpe.encode_all(texts[a:b])):
+                    out.append((doc, n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode("utf-8", "replace")).hexdigest()))
             yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
