@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from . import common
 
 K, MISS, TILE = 64, 1e-6, 256
+#: Up to so many ids (1.6 MB) are broadcast.
+SENT_IDS = 200_000
 _RNG = np.random.default_rng(971)
 _XOR = _RNG.integers(0, 2**32, K, dtype=np.uint32)
 _MUL = _RNG.integers(0, 2**32, K, dtype=np.uint32) | np.uint32(1)
@@ -98,10 +100,9 @@ def _features(size: int):
                     sets = shingles(texts[a:b], size)
                     some = [i for i, s in enumerate(sets) if len(s)]
                     sig = signatures([sets[i] for i in some]) if some else []
-                    blobs = [packed(s) if len(s) else None for s in sets]
                     row = dict(zip(some, sig))
-                    yield pd.DataFrame({"doc_id": ids[a:b], "n_shingles": [len(s) for s in sets], "fp": [hashlib.blake2b(x, digest_size=16).digest() if x else None for x in blobs],
-                                        "sig": [row[i].tobytes() if i in row else None for i in range(len(sets))], "members": blobs})
+                    yield pd.DataFrame({"doc_id": ids[a:b], "n_shingles": [len(s) for s in sets], "fp": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
+                                        "sig": [row[i].tobytes() if i in row else None for i in range(len(sets))]})
 
     return run
 
@@ -155,12 +156,35 @@ def _alike(percent: int):
     return run
 
 
-def confirmed(pairs: DataFrame, features: DataFrame, limit: int, percent: int) -> DataFrame:
-    """Of distinct pairs (a, b) those within the distance limit whose full sets are alike."""
+def _members(size: int):
+    def run(batches):
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                texts, ids = batch["text"].tolist(), batch["doc_id"].tolist()
+                for a, b in common.slices(texts, 1_000_000):
+                    yield pd.DataFrame({"id": ids[a:b], "members": [packed(s) for s in shingles(texts[a:b], size)]})
+
+    return run
+
+
+def confirmed(pairs: DataFrame, features: DataFrame, docs: DataFrame, size: int, limit: int, percent: int) -> DataFrame:
+    """Of distinct pairs (a, b) those within the distance limit whose full sets are alike.
+
+    Sets are taken from the texts that near pairs name, so no other text moves.
+    """
+    spark = docs.sparkSession
     side = lambda c: features.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
-    full = lambda c: features.select(F.col("id").alias(c), F.col("members").alias(f"set_{c}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     near = common.cut(sized.select("a", "b", "sig_a", "sig_b").mapInPandas(_near(limit), "a long, b long"))
+    named = common.cut(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct())
+    if not (count := named.count()):
+        return near
+    # a side of checked size is sent to all tasks; a larger one meets the texts by a shuffle
+    texts = docs.select("doc_id", "text").join(F.broadcast(named) if count <= SENT_IDS else named, "doc_id", "left_semi")
+    path = common.fresh_path(spark, "members")
+    texts.mapInPandas(_members(size), "id long, members binary").write.parquet(path)
+    sets = spark.read.parquet(path)
+    full = lambda c: sets.select(F.col("id").alias(c), F.col("members").alias(f"set_{c}"))
     return common.cut(near.join(full("a"), "a").join(full("b"), "b").select("a", "b", "set_a", "set_b").mapInPandas(_alike(percent), "a long, b long"))
 
 
@@ -214,18 +238,18 @@ def components(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> Da
     common.text_batches(spark)
     limit = distance_limit(percent / 100)
     path = common.fresh_path(spark, "shingles")
-    docs.select("doc_id", "text").mapInPandas(_features(shingle_words), "doc_id long, n_shingles long, fp binary, sig binary, members binary").write.parquet(path)
+    docs.select("doc_id", "text").mapInPandas(_features(shingle_words), "doc_id long, n_shingles long, fp binary, sig binary").write.parquet(path)
     features = spark.read.parquet(path)
     copies = features.where("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("id"))
     sets = common.fresh_path(spark, "sets")
-    copies.join(features.where("fp IS NOT NULL").select("fp", F.col("doc_id").alias("id"), "n_shingles", "sig", "members"), ["fp", "id"]).drop("fp").dropDuplicates(["id"]).write.parquet(sets)
+    copies.join(features.where("fp IS NOT NULL").select("fp", F.col("doc_id").alias("id"), "n_shingles", "sig"), ["fp", "id"]).drop("fp").dropDuplicates(["id"]).write.parquet(sets)
     reps = spark.read.parquet(sets)
     keys = reps.select("id", "sig").mapInPandas(_keys(limit), "key long, id long")
     hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
     members = common.fresh_path(spark, "buckets")
     keys.join(hubs, "key").write.parquet(members)
     members = spark.read.parquet(members)
-    links = confirmed(members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), reps, limit, percent)
+    links = confirmed(members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), reps, docs, shingle_words, limit, percent)
     found = connected(links)
 
     def open_buckets():
@@ -234,14 +258,14 @@ def components(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> Da
         return m.join(split, "key")
 
     pairs = open_buckets().where(F.col("comp") != F.col("h.comp")).select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).distinct()
-    links = links.union(confirmed(pairs, reps, limit, percent))
+    links = links.union(confirmed(pairs, reps, docs, shingle_words, limit, percent))
     found = connected(links)
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     spread = open_buckets().withColumn("tile", F.pmod(F.xxhash64("id"), tiles).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), tiles - 1))).select(
         "key", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "id", "comp", "tile")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rest = spread.join(reps.select("id", "sig"), "id").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(_tiles(limit), "a long, b long").distinct()
-    found = connected(links.union(confirmed(rest, reps, limit, percent)))
+    found = connected(links.union(confirmed(rest, reps, docs, shingle_words, limit, percent)))
     whole = copies.join(found, "id", "left").select("fp", F.coalesce("comp", "id").alias("component"))
     out = features.select("doc_id", "n_shingles", "fp").join(whole, "fp", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

@@ -99,4 +99,22 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-SQL = None
+SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '?') AS stratum, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT doc_id, list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS g FROM w WHERE len(w) >= 3),
+u AS (SELECT doc_id, unnest(g) AS g, unnest(range(len(g))) AS i FROM g),
+r AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM u) CROSS JOIN range(3) AS o(j) WHERE c > 1 GROUP BY 1),
+m AS (SELECT doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_caps, len(l) AS n_lines,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN r USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  [CASE WHEN word_chars > 0 THEN 100.0::DOUBLE * n_symbols / word_chars ELSE 0 END, CASE WHEN n_lines > 0 THEN 100.0::DOUBLE * n_dup_lines / n_lines ELSE 0 END,
+   CASE WHEN n_words > 0 THEN 100.0::DOUBLE * n_repeat_words / n_words ELSE 0 END, CASE WHEN word_chars > 0 THEN 100.0::DOUBLE * n_caps / word_chars ELSE 0 END] AS s FROM m),
+q AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
+a AS (SELECT stratum, unnest(range(1, 5)) AS rule, unnest(s) AS share FROM f JOIN q USING (doc_id) WHERE quality = 1 AND NOT base_failed),
+c AS (SELECT stratum, rule, cut, count(*) AS n, count(*) FILTER (share > cut) AS k, (SELECT count(DISTINCT stratum) FROM a) AS strata FROM a CROSS JOIN (SELECT unnest([1, 2, 5, 10, 15, 20, 30, 40, 50, 75, 100]) AS cut) GROUP BY 1, 2, 3),
+p AS (SELECT stratum, rule, min(cut) AS cut FROM c WHERE k < n * 0.0125 AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.0125) + (n - i) * ln(0.9875)))) <= 0.05 / (strata * 44) GROUP BY 1, 2),
+b AS (SELECT doc_id, bool_or(s[rule] > cut) AS bad FROM f JOIN p USING (stratum) GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(bad, FALSE) AS kept FROM f LEFT JOIN b USING (doc_id)
+"""

@@ -194,4 +194,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(write_archives(records, folder, "record", "html"), folder)
 
 
-SQL = None
+SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS x FROM p),
+g AS (SELECT page_id, payload_bytes, list_transform(range(8), lambda i: CAST('0x' || substr(x, 1 + 5 * CAST(i AS INTEGER), 5) AS BIGINT)) AS v FROM d),
+b AS (SELECT page_id, payload_bytes, array_to_string(list_transform(v, lambda n: array_to_string(list_transform([15, 10, 5, 0], lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((n >> k) & 31) AS INTEGER), 1)), '')), '') AS payload_digest FROM g),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM b)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f
+"""
