@@ -131,3 +131,53 @@ def savgol(spark, d):
 def bootstrap_ci(spark, d):
     rows = tracks.interpolated(points(spark, d), F.col("seq") % 5 == 0).groupBy("track").agg(F.collect_list(F.abs(F.col("x") - F.col("ix"))).alias("e"))
     return store.map_rows(rows, lambda r: [(r.track, *curves.bootstrap(np.sort(np.asarray(r.e)), 500, int(r.track)))], "track long, mean double, low double, high double")
+
+
+@query(None)
+def certify_spline(spark, d):
+    from curvespark.functions import splines
+
+    def one(r):
+        if len(r.t) > 4:
+            p, u = store.xy(r.x, r.y), np.asarray(r.t) / r.t[-1]
+            knots, c, _ = curves.fit_spline(u, p, 50.0)
+            line, eps = splines.certify_spline(p, knots, c, 3, 400.0, 10.0)
+            yield r.track, len(p), len(c), len(line), float(eps)
+
+    return store.map_rows(nested(points(spark, d)), one, "track long, n int, control int, vertices int, eps double")
+
+
+@query(None)
+def knot_removal(spark, d):
+    from curvespark.functions import splines
+
+    def one(r):
+        if len(r.t) > 12:
+            p, u = store.xy(r.x, r.y), np.asarray(r.t) / r.t[-1]
+            full = curves.spline_knots(u, len(u) // 4)
+            yield r.track, len(full), len(splines.remove_knots(u, p, full, 100.0))
+
+    return store.map_rows(nested(points(spark, d)), one, "track long, before int, after int")
+
+
+@query(None)
+def pchip_velocity(spark, d):
+    from curvespark.functions import splines
+
+    return store.map_rows(nested(points(spark, d)), lambda r: ((r.track, i, float(v)) for i, v in enumerate(splines.pchip_slopes(np.asarray(r.t), np.asarray(r.x)) if len(r.t) > 1 else [])), "track long, seq long, vx double")
+
+
+@query(None)
+def synthetic_tracks(spark, d):
+    from curvespark.sources import synth
+
+    return synth.tracks(spark, 8)
+
+
+@query(None)
+def curve_search(spark, d):
+    from curvespark.operators import curve_store
+    from curvespark.sources.tables import table
+
+    c = curve_store.text_curves(table(spark, d, "documents"))
+    return curve_store.search(c, c.where("doc_id % 50 = 0").select("doc_id")).select("query_id", "doc_id", "rank", r6("dist").alias("dist"))
