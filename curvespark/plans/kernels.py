@@ -141,7 +141,7 @@ def certify_spline(spark, d):
         if len(r.t) > 4:
             p, u = store.xy(r.x, r.y), np.asarray(r.t) / r.t[-1]
             knots, c, _ = curves.fit_spline(u, p, 50.0)
-            line, eps = splines.certify_spline(p, knots, c, 3, 400.0, 10.0)
+            line, eps = splines.certify_spline(p, knots, c, 3, 50.0, 10.0, 5)
             yield r.track, len(p), len(c), len(line), float(eps)
 
     return store.map_rows(nested(points(spark, d)), one, "track long, n int, control int, vertices int, eps double")
