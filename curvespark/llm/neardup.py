@@ -4,7 +4,8 @@ A document's set is its distinct word shingles (the whole sequence where words a
 Equal sets fall together by fingerprint. Signatures hold K MinHash symbols of 16 bits each. The distance limit t is
 the smallest for which a pair at the similarity limit passes with probability 1 - MISS; signatures are
 cut into t // 2 + 1 chunks, so by the pigeonhole principle some chunk of a pair within t has at most one
-wrong symbol: one key per chunk and left-out symbol finds it. Candidates are confirmed on the full sets.
+wrong symbol: one key per chunk and left-out symbol finds it. Candidates must then pass a longer sketch of four-bit
+symbols, its limit set alike, and are confirmed on the full sets.
 
 Links are sought until components are certain, not until all pairs are listed: every bucket first links its
 members to one hub, then to a second one drawn by hash, and only buckets that still hold several components
@@ -29,20 +30,23 @@ from . import common
 K, MISS, TILE = 64, 1e-6, 256
 #: Up to so many ids (1.6 MB) are broadcast.
 SENT_IDS = 200_000
+#: Four-bit symbols of the sketch that candidates must also pass.
+SKETCH = 512
 _RNG = np.random.default_rng(971)
-_XOR = _RNG.integers(0, 2**32, K, dtype=np.uint32)
-_MUL = _RNG.integers(0, 2**32, K, dtype=np.uint32) | np.uint32(1)
+_XOR = _RNG.integers(0, 2**32, K + SKETCH, dtype=np.uint32)
+_MUL = _RNG.integers(0, 2**32, K + SKETCH, dtype=np.uint32) | np.uint32(1)
+_APART = np.array([(z > 15) + (z % 16 > 0) for z in range(256)], dtype=np.uint8)
 _LOW48 = np.uint64(2**48 - 1)
 
 
-def distance_limit(similarity: float) -> int:
-    """Smallest t with P(Bin(K, 1 - similarity) > t) <= MISS."""
-    q, left = 1 - similarity, 1.0
-    for t in range(K + 1):
-        left -= math.comb(K, t) * q**t * (1 - q) ** (K - t)
+def distance_limit(similarity: float, symbols: int = K, bits: int = 16) -> int:
+    """Smallest t with P(Bin(symbols, share of symbols that differ at this similarity) > t) <= MISS."""
+    q, left = (1 - similarity) * (1 - 0.5**bits), 1.0
+    for t in range(symbols + 1):
+        left -= math.comb(symbols, t) * q**t * (1 - q) ** (symbols - t)
         if left <= MISS:
             return t
-    return K
+    return symbols
 
 
 def shingles(texts: list, size: int) -> list[np.ndarray]:
@@ -78,17 +82,31 @@ def unpacked(blob: bytes) -> np.ndarray:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """MinHash symbols (uint16), one row a non-empty set."""
+    """K MinHash symbols (uint16), then the packed sketch; one row a non-empty set."""
     flat = np.concatenate(sets)
     x = (common.mix(flat) >> np.uint64(32)).astype(np.uint32)
     at = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
-    out = np.empty((len(sets), K), dtype=np.uint16)
-    for i in range(K):
-        least = np.minimum.reduceat((x ^ _XOR[i]) * _MUL[i], at)
-        out[:, i] = (least * np.uint32(0x85EBCA6B)) >> np.uint32(16)
+    out = np.empty((len(sets), K + SKETCH // 4), dtype=np.uint16)
+    small = np.empty((len(sets), SKETCH), dtype=np.uint8)
+    h = np.empty_like(x)
+    for i in range(K + SKETCH):
+        np.bitwise_xor(x, _XOR[i], out=h)
+        np.multiply(h, _MUL[i], out=h)
+        least = np.minimum.reduceat(h, at) * np.uint32(0x85EBCA6B)
+        if i < K:
+            out[:, i] = least >> np.uint32(16)
+        else:
+            small[:, i - K] = least >> np.uint32(28)
+    out[:, K:] = (small[:, ::2] << 4 | small[:, 1::2]).view("<u2")
     return out
 
 
+def parts(blobs) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures (uint16, K columns) and sketches (uint8, two symbols a byte)."""
+    both = np.frombuffer(b"".join(blobs), dtype="<u2").reshape(-1, K + SKETCH // 4)
+    return both[:, :K], np.ascontiguousarray(both[:, K:]).view(np.uint8)
+
+
 def _features(size: int):
     import hashlib
 
@@ -119,7 +137,7 @@ def _keys(limit: int):
             for batch in batches:
                 if not len(batch):
                     continue
-                sig = np.frombuffer(b"".join(batch["sig"]), dtype="<u2").reshape(-1, K).astype(np.uint64)
+                sig = parts(batch["sig"])[0].astype(np.uint64)
                 ids, tag = batch["id"].to_numpy(), 0
                 for part in chunks(limit):
                     for drop in part:
@@ -133,12 +151,12 @@ def _keys(limit: int):
     return run
 
 
-def _near(limit: int):
+def _near(limit: int, apart: int):
     def run(batches):
         for batch in batches:
             if len(batch):
-                a, b = (np.frombuffer(b"".join(batch[c]), dtype="<u2").reshape(-1, K) for c in ("sig_a", "sig_b"))
-                yield batch.loc[(a != b).sum(axis=1) <= limit, ["a", "b"]]
+                (a, x), (b, y) = parts(batch["sig_a"]), parts(batch["sig_b"])
+                yield batch.loc[((a != b).sum(axis=1) <= limit) & (_APART[x ^ y].sum(axis=1, dtype=int) <= apart), ["a", "b"]]
 
     return run
 
@@ -175,7 +193,7 @@ def confirmed(pairs: DataFrame, features: DataFrame, docs: DataFrame, size: int,
     spark = docs.sparkSession
     side = lambda c: features.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    near = common.cut(sized.select("a", "b", "sig_a", "sig_b").mapInPandas(_near(limit), "a long, b long"))
+    near = common.cut(sized.select("a", "b", "sig_a", "sig_b").mapInPandas(_near(limit, distance_limit(percent / 100, SKETCH, 4)), "a long, b long"))
     named = common.cut(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct())
     if not (count := named.count()):
         return near
@@ -205,17 +223,18 @@ def connected(edges: DataFrame) -> DataFrame:
         mark = now
 
 
-def _tiles(limit: int):
+def _tiles(limit: int, apart: int):
     def run(batches):
         held, at = [], None
 
         def out(rows):
-            sig = np.frombuffer(b"".join(r[3] for r in rows), dtype="<u2").reshape(-1, K)
+            sig, sketch = parts([r[3] for r in rows])
             ids, comp, tile = (np.array([r[i] for r in rows]) for i in (0, 1, 2))
             for i in range(len(rows)):
                 other = np.flatnonzero((comp != comp[i]) & (ids > ids[i]) & ((tile != tile[i]) | (at[1] == at[2])))
                 if len(other):
                     other = other[(sig[other] != sig[i]).sum(axis=1) <= limit]
+                    other = other[_APART[sketch[other] ^ sketch[i]].sum(axis=1, dtype=int) <= apart]
                     if len(other):
                         yield pd.DataFrame({"a": ids[i], "b": ids[other]})
 
@@ -263,8 +282,8 @@ def components(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> Da
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     spread = open_buckets().withColumn("tile", F.pmod(F.xxhash64("id"), tiles).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), tiles - 1))).select(
         "key", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "id", "comp", "tile")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rest = spread.join(reps.select("id", "sig"), "id").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(_tiles(limit), "a long, b long").distinct()
+    dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rest = spread.join(reps.select("id", "sig"), "id").repartition(dealt, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(_tiles(limit, distance_limit(percent / 100, SKETCH, 4)), "a long, b long").distinct()
     found = connected(links.union(confirmed(rest, reps, docs, shingle_words, limit, percent)))
     whole = copies.join(found, "id", "left").select("fp", F.coalesce("comp", "id").alias("component"))
     out = features.select("doc_id", "n_shingles", "fp").join(whole, "fp", "left")
