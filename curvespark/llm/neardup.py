@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-K, MISS, TILE = 64, 1e-6, 256
+K, MISS, TILE = 64, 1e-6, 1024
 #: Up to so many ids (1.6 MB) are broadcast.
 SENT_IDS = 200_000
 #: Four-bit symbols of the sketch that candidates must also pass.
