@@ -7,10 +7,12 @@ cut into t // 2 + 1 chunks, so by the pigeonhole principle some chunk of a pair
 wrong symbol: one key per chunk and left-out symbol finds it. Candidates must then pass a longer sketch of four-bit
 symbols, its limit set alike, and are confirmed on the full sets.
 
-Links are sought until components are certain, not until all pairs are listed: every bucket first links its
-members to one hub, then to a second one drawn by hash, and only buckets that still hold several components
-are compared in tiles, within the distance limit and across components. So no link between components is
-missed among pairs within t, and large groups of alike texts cost rows in proportion to their size.
+Links are sought until components are certain, not until all pairs are listed. Buckets with the same smallest
+id, their hub, form one group, as alike texts share many buckets. A group's members are first linked to the
+hub, then to a second member drawn by hash. Only groups that still hold several components are compared in tiles,
+which carry the full sets, skip what is already joined and give the links of a spanning forest alone. So
+no link between components is missed among pairs within t, and a group of n texts makes rows in proportion to
+n, not to its pairs.
 
 doc_id is the key: rows without one, and texts without a word, link with nothing; of repeated ids with
 different texts the links of one text count.
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-K, MISS, TILE = 64, 1e-6, 1024
+K, MISS = 64, 1e-6
+#: Rows and shingles of one side of a tile.
+TILE, TILE_SHINGLES = 512, 1_000_000
 #: Up to so many ids (1.6 MB) are broadcast.
 SENT_IDS = 200_000
 #: Four-bit symbols of the sketch that candidates must also pass.
@@ -185,23 +189,23 @@ def _members(size: int):
     return run
 
 
-def confirmed(pairs: DataFrame, features: DataFrame, docs: DataFrame, size: int, limit: int, percent: int) -> DataFrame:
-    """Of distinct pairs (a, b) those within the distance limit whose full sets are alike.
-
-    Sets are taken from the texts that near pairs name, so no other text moves.
-    """
+def full_sets(named: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(id, members) of the documents that named (doc_id, distinct) lists; no other text moves."""
     spark = docs.sparkSession
+    named = common.cut(named)
+    # a side of checked size is sent to all tasks; a larger one meets the texts by a shuffle
+    small = named.count() <= SENT_IDS
+    path = common.fresh_path(spark, "members")
+    docs.select("doc_id", "text").join(F.broadcast(named) if small else named, "doc_id", "left_semi").mapInPandas(_members(size), "id long, members binary").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def confirmed(pairs: DataFrame, features: DataFrame, docs: DataFrame, size: int, limit: int, percent: int) -> DataFrame:
+    """Of distinct pairs (a, b) those within the distance limit whose full sets are alike."""
     side = lambda c: features.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     near = common.cut(sized.select("a", "b", "sig_a", "sig_b").mapInPandas(_near(limit, distance_limit(percent / 100, SKETCH, 4)), "a long, b long"))
-    named = common.cut(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct())
-    if not (count := named.count()):
-        return near
-    # a side of checked size is sent to all tasks; a larger one meets the texts by a shuffle
-    texts = docs.select("doc_id", "text").join(F.broadcast(named) if count <= SENT_IDS else named, "doc_id", "left_semi")
-    path = common.fresh_path(spark, "members")
-    texts.mapInPandas(_members(size), "id long, members binary").write.parquet(path)
-    sets = spark.read.parquet(path)
+    sets = full_sets(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), docs, size)
     full = lambda c: sets.select(F.col("id").alias(c), F.col("members").alias(f"set_{c}"))
     return common.cut(near.join(full("a"), "a").join(full("b"), "b").select("a", "b", "set_a", "set_b").mapInPandas(_alike(percent), "a long, b long"))
 
@@ -223,30 +227,47 @@ def connected(edges: DataFrame) -> DataFrame:
         mark = now
 
 
-def _tiles(limit: int, apart: int):
+def joined(ids, comp, tile, same: bool, blobs, sets, limit: int, apart: int, percent: int) -> list[tuple[int, int]]:
+    """Links that join the components of one tile's rows; of two different tiles only pairs across them count."""
+    sig, sketch = parts(blobs)
+    sets = [unpacked(x) for x in sets]
+    n = np.array([len(x) for x in sets])
+    codes = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(n)[:-1])
+    mark = np.zeros(n.sum(), dtype=bool)
+    comp, links = np.unique(comp, return_inverse=True)[1], []
+    for i in range(len(ids)):
+        other = np.flatnonzero((comp != comp[i]) & (ids > ids[i]) & (same | (tile != tile[i])) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+        other = other[(sig[other] != sig[i]).sum(axis=1) <= limit]
+        other = other[_APART[sketch[other] ^ sketch[i]].sum(axis=1, dtype=int) <= apart]
+        mark[codes[i]] = True
+        for o in other:
+            if comp[o] != comp[i]:
+                both = np.count_nonzero(mark[codes[o]])
+                if 100 * both >= percent * (n[i] + n[o] - both):
+                    links.append((ids[i], ids[o]))
+                    comp[comp == comp[o]] = comp[i]
+        mark[codes[i]] = False
+    return links
+
+
+def _tiles(limit: int, apart: int, percent: int):
+    """Links (a, b) of each tile pair (hub, i, j), whose rows come together."""
+
+    def out(at, rows):
+        ids, comp, tile = (np.array([r[c] for r in rows]) for c in (0, 1, 2))
+        return pd.DataFrame(joined(ids, comp, tile, at[1] == at[2], [r[3] for r in rows], [r[4] for r in rows], limit, apart, percent), columns=["a", "b"], dtype="int64")
+
     def run(batches):
         held, at = [], None
-
-        def out(rows):
-            sig, sketch = parts([r[3] for r in rows])
-            ids, comp, tile = (np.array([r[i] for r in rows]) for i in (0, 1, 2))
-            for i in range(len(rows)):
-                other = np.flatnonzero((comp != comp[i]) & (ids > ids[i]) & ((tile != tile[i]) | (at[1] == at[2])))
-                if len(other):
-                    other = other[(sig[other] != sig[i]).sum(axis=1) <= limit]
-                    other = other[_APART[sketch[other] ^ sketch[i]].sum(axis=1, dtype=int) <= apart]
-                    if len(other):
-                        yield pd.DataFrame({"a": ids[i], "b": ids[other]})
-
         for batch in batches:
-            for key, i, j, *row in zip(*(batch[c] for c in ("key", "i", "j", "id", "comp", "tile", "sig"))):
-                if (key, i, j) != at:
+            for hub, i, j, *row in zip(*(batch[c] for c in ("hub", "i", "j", "id", "comp", "tile", "sig", "members"))):
+                if (hub, i, j) != at:
                     if held:
-                        yield from out(held)
-                    held, at = [], (key, i, j)
+                        yield out(at, held)
+                    held, at = [], (hub, i, j)
                 held.append(row)
         if held:
-            yield from out(held)
+            yield out(at, held)
 
     return run
 
@@ -265,26 +286,30 @@ def components(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> Da
     reps = spark.read.parquet(sets)
     keys = reps.select("id", "sig").mapInPandas(_keys(limit), "key long, id long")
     hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    members = common.fresh_path(spark, "buckets")
-    keys.join(hubs, "key").write.parquet(members)
-    members = spark.read.parquet(members)
-    links = confirmed(members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), reps, docs, shingle_words, limit, percent)
+    path = common.fresh_path(spark, "groups")
+    keys.join(hubs, "key").select("hub", "id").distinct().write.parquet(path)
+    members = spark.read.parquet(path)
+    links = confirmed(members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")), reps, docs, shingle_words, limit, percent)
     found = connected(links)
 
-    def open_buckets():
-        m = members.select("key", "id").join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        split = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", "key"), "id", "comp")).alias("h")).where("lo <> hi")
-        return m.join(split, "key")
+    def open_groups():
+        """Members of groups that still hold several components, with what is known of the group."""
+        m = members.join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id")).join(reps.select("id", "n_shingles"), "id")
+        of_group = (F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.sum("n_shingles").alias("total"), F.min(F.struct(F.xxhash64("id", "hub"), "id", "comp")).alias("h"))
+        split = common.cut(m.groupBy("hub").agg(*of_group).where("lo <> hi"))
+        return m.join(F.broadcast(split) if split.count() <= SENT_IDS else split, "hub")
 
-    pairs = open_buckets().where(F.col("comp") != F.col("h.comp")).select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).distinct()
+    pairs = open_groups().where(F.col("comp") != F.col("h.comp")).select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).distinct()
     links = links.union(confirmed(pairs, reps, docs, shingle_words, limit, percent))
     found = connected(links)
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    spread = open_buckets().withColumn("tile", F.pmod(F.xxhash64("id"), tiles).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), tiles - 1))).select(
-        "key", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "id", "comp", "tile")
+    tiles = F.ceil(F.greatest(F.col("n") / TILE, F.col("total") / TILE_SHINGLES)).cast("int")
+    open_rows = common.cut(open_groups().select("hub", "id", "comp", tiles.alias("tiles"), F.pmod(F.xxhash64("id"), tiles).cast("int").alias("tile")))
+    full = full_sets(open_rows.select(F.col("id").alias("doc_id")).distinct(), docs, shingle_words).dropDuplicates(["id"])
+    spread = open_rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("hub", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "id", "comp", "tile")
     dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rest = spread.join(reps.select("id", "sig"), "id").repartition(dealt, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(_tiles(limit, distance_limit(percent / 100, SKETCH, 4)), "a long, b long").distinct()
-    found = connected(links.union(confirmed(rest, reps, docs, shingle_words, limit, percent)))
+    rest = spread.join(reps.select("id", "sig").join(full, "id"), "id").repartition(dealt, "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    rest = rest.mapInPandas(_tiles(limit, distance_limit(percent / 100, SKETCH, 4), percent), "a long, b long")
+    found = connected(links.union(rest))
     whole = copies.join(found, "id", "left").select("fp", F.coalesce("comp", "id").alias("component"))
     out = features.select("doc_id", "n_shingles", "fp").join(whole, "fp", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
