@@ -35,10 +35,10 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of at most 2048 ids."""
+    """Packs what is left into sequences of at most 2048 ids; the workers also hold what other stages keep, so the encoders' caches are small."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cache=100_000)
 
 
 STAGES = [("language_id", language_stage), ("quality_rules", quality_stage), ("near_dedup", dedup_stage), ("packing", packing_stage)]

@@ -25,6 +25,7 @@ from . import common
 
 WINDOW, BLOCK_TOKENS, STEP = 2048, 4_000_000, 8
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, step_group long"
+#: Words that an encoder keeps, twice over at most; fewer take less memory and more time.
 CACHE = 400_000
 #: Marks that form a piece of their own after a word's letters.
 TAIL = ".,!?;:|*$#%&"
@@ -33,9 +34,10 @@ TAIL = ".,!?;:|*$#%&"
 class WordEncoder:
     """Ids of whole texts by a tokenizer whose tokens never cross white space: each distinct word is encoded once."""
 
-    def __init__(self, path: str, end_id: int = 1):
+    def __init__(self, path: str, end_id: int = 1, cache: int = CACHE):
         from tokenizers import Tokenizer
 
+        self.cache = cache
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -61,7 +63,7 @@ class WordEncoder:
             return [self.known[w] for w in parts]
         except KeyError:
             pass
-        if len(self.known) > CACHE:
+        if len(self.known) > self.cache:
             self.older, self.known = self.known, {}
         known, older, new, split = self.known, self.older, set(), []
         for w in set(parts):
@@ -144,16 +146,16 @@ def plan(lengths: np.ndarray, window: int = WINDOW) -> list[list[tuple[int, int,
 
 
 #: A worker's encoders stay for its next tasks.
-_READY: dict[tuple[str, int], WordEncoder] = {}
+_READY: dict[tuple[str, int, int], WordEncoder] = {}
 
 
-def packer(path: str, window: int = WINDOW, end_id: int = 1, block_tokens: int = BLOCK_TOKENS):
+def packer(path: str, window: int = WINDOW, end_id: int = 1, block_tokens: int = BLOCK_TOKENS, cache: int = CACHE):
     def run(batches):
         from pyspark import TaskContext
 
-        if (path, end_id) not in _READY:
-            _READY[path, end_id] = WordEncoder(path, end_id)
-        encode = _READY[path, end_id]
+        if (path, end_id, cache) not in _READY:
+            _READY[path, end_id, cache] = WordEncoder(path, end_id, cache)
+        encode = _READY[path, end_id, cache]
         base, count = TaskContext.get().partitionId() << 32, 0
 
         def flush(held):
@@ -185,10 +187,10 @@ def packer(path: str, window: int = WINDOW, end_id: int = 1, block_tokens: int =
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = 1, cache: int = CACHE) -> DataFrame:
     """One row for each piece of each document (doc_id, text): SCHEMA."""
     common.text_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInPandas(packer(tokenizer_path, window, end_id), SCHEMA)
+    return docs.select("doc_id", "text").mapInPandas(packer(tokenizer_path, window, end_id, cache=cache), SCHEMA)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
