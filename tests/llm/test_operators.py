@@ -252,3 +252,24 @@ def test_pipeline(spark, tmp_path):
     first = neardup.components(kept, 5, 80).where("kept").toPandas()
     assert set(out.doc_id) == set(first.doc_id)
     assert (out.groupby("doc_id").length.sum() == out.groupby("doc_id").doc_tokens.first()).all()
+
+
+def test_tile_joins_components_like_brute_force():
+    from curvespark.llm import neardup
+
+    rng = np.random.default_rng(3)
+    base = [np.sort(rng.choice(2**40, 120, replace=False).astype(np.uint64)) for _ in range(3)]
+    sets = [np.unique(np.concatenate((b[rng.permutation(120)[: 120 - k]], rng.choice(2**40, k, replace=False).astype(np.uint64)))) for b in base for k in (0, 2, 5, 9, 14)]
+    with np.errstate(over="ignore"):
+        blobs = [row.tobytes() for row in neardup.signatures(sets)]
+    ids, n = np.arange(len(sets)), len(sets)
+    got = neardup.joined(ids, ids.copy(), np.zeros(n, int), True, blobs, [neardup.packed(s) for s in sets], neardup.distance_limit(0.85), neardup.distance_limit(0.85, neardup.SKETCH, 4), 85)
+
+    def comps(links):
+        c = list(range(n))
+        for a, b in links:
+            c = [min(c[a], c[b]) if x in (c[a], c[b]) else x for x in c]
+        return c
+
+    alike = [(a, b) for a in range(n) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))]
+    assert alike and comps(got) == comps(alike) and len(got) == n - len(set(comps(alike)))
