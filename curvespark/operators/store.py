@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from curvespark.functions import curves
 from curvespark.operators import tracks as T
 from curvespark.operators import vectors as V
-from curvespark.sources.tables import nested
+from curvespark.sources.tables import cut, nested
 
 CURVE = "track long, n int, kept array<int>, lx array<double>, ly array<double>, eps double"
 
@@ -67,7 +67,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, pool: int) -> DataFrame:
     """(q, c, dist, rank) by discrete Frechet distance: the bound's nearest `pool` fix a radius, then every track whose bound is within it is measured."""
     ends, box = T.bounds("l", "r")
     s, t = T.summary(queries), T.summary(corpus)
-    lb = s.alias("l").join(t.alias("r"), F.col("l.track") != F.col("r.track")).select(F.col("l.track").alias("q"), F.col("r.track").alias("c"), F.greatest(ends, box).alias("lb"))
+    whole = lambda df, n: df.select(F.col("track").alias(n), F.struct("*").alias("l" if n == "q" else "r"))
+    lb = V.against_all(whole(t, "c"), whole(s, "q"), "c").where("q <> c").select("q", "c", F.greatest(ends, box).alias("lb"))
     near = V.ranked(lb, "q", "lb", "c", pool, False)
     first = compare(near, nested(queries), nested(corpus), curves.discrete_frechet, "dist")
     radius = V.ranked(first, "q", "dist", "c", k, False).groupBy("q").agg(F.max("dist").alias("r"), F.count("*").alias("m"))
@@ -96,7 +97,7 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, pool: int
     """
     keyed = hilbert_keyed(vectors)
     ordered = keyed.repartitionByRange("hkey").sortWithinPartitions("hkey", "vec_id").withColumn("part", F.spark_partition_id()).withColumn("pos", F.monotonically_increasing_id())
-    ordered = ordered.checkpoint()
+    ordered = cut(ordered)
     q = ordered.join(queries.select("vec_id"), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "pos")
     cell = F.floor(F.col("pos") / pool)
     near = q.withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1))).join(ordered.select("vec_id", "v", F.col("pos").alias("p"), F.floor(F.col("pos") / pool).alias("cell")), "cell").where((F.abs(F.col("p") - F.col("pos")) <= pool) & (F.col("vec_id") != F.col("query_id")))

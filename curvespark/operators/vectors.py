@@ -52,8 +52,19 @@ def ranked(pairs: DataFrame, query: str, score: str, item: str, k: int, descendi
     return pairs.withColumn("rank", F.row_number().over(W.partitionBy(query).orderBy(order, item)).cast("long")).where(F.col("rank") <= k)
 
 
-def dimension_ranges(vectors: DataFrame, vector: str, dims: int) -> DataFrame:
-    return vectors.select(F.posexplode(F.slice(doubles(vector), 1, dims)).alias("dim", "v")).groupBy("dim").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+def against_all(rows: DataFrame, queries: DataFrame, key: str) -> DataFrame:
+    """Each query with every row, block by block: a row falls in one cell by its hash, a query goes to all cells.
+
+    The cells are joined on their number, so neither side has to fit a task and no pair is built outside a cell.
+    """
+    cells = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = queries.withColumn("_cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))))
+    return rows.withColumn("_cell", F.pmod(F.xxhash64(key), F.lit(cells).cast("long"))).join(spread, "_cell").drop("_cell")
+
+
+def dimension_ranges(vectors: DataFrame, vector: str, dims: int | None = None) -> DataFrame:
+    """Smallest and largest value of the first dims dimensions (all, if None)."""
+    return vectors.select(F.posexplode(F.slice(doubles(vector), 1, dims) if dims else doubles(vector)).alias("dim", "v")).groupBy("dim").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
 
 
 def to_grid(v: Column, lo: Column, hi: Column, bits: int) -> Column:

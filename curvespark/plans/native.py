@@ -47,13 +47,13 @@ def vec(spark: SparkSession, d: str) -> DataFrame:
 
 def cosine_pairs(spark, d):
     e = vec(spark, d)
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("label").alias("q_label"))
-    return e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))  # ten stated queries
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("label").alias("q_label"))
+    return V.against_all(e, q, "vec_id").where("vec_id <> query_id")
 
 
 E_SQL = "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"
 TOP = f"""{E_SQL}, s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_inner_product(q.v, c.v) / ((sqrt(list_inner_product(q.v, q.v)) + 1e-10) * (sqrt(list_inner_product(c.v, c.v)) + 1e-10)), 6) AS sim,
-  q.label AS q_label, c.label FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id < 10),
+  q.label AS q_label, c.label FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM s) WHERE rank <= 10)"""
 
 
@@ -72,12 +72,12 @@ def precision_and_rr(spark, d):
     return top10(spark, d).groupBy("query_id").agg((F.count_if(same) / 10.0).alias("precision"), F.coalesce(1.0 / F.min(F.when(same, F.col("rank"))), F.lit(0.0)).alias("rr"))
 
 
-REL = "rel AS (SELECT q.vec_id AS query_id, c.vec_id AS item FROM e q JOIN e c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id < 10)"
+REL = "rel AS (SELECT q.vec_id AS query_id, c.vec_id AS item FROM e q JOIN e c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)"
 
 
 def judged(spark, d):
     e = vec(spark, d)
-    rel = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("item"), "label"), "label").where("query_id <> item").select("query_id", "item")
+    rel = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("item"), "label"), "label").where("query_id <> item").select("query_id", "item")
     return V.retrieval(top10(spark, d).withColumnRenamed("vec_id", "item"), rel, 10)
 
 
@@ -111,31 +111,30 @@ def cosine_distance(spark, d):
     return adjacent(spark, d).select("vec_id", r6(V.cosine_distance(F.col("a"), F.col("b"))).alias("dist"), r6(V.l2(F.col("a"), F.col("b"))).alias("l2"))
 
 
-@query(f"WITH {E_SQL} SELECT a.vec_id AS i, b.vec_id AS j, round(list_distance(a.v, b.v), 6) AS dist FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id < 50 AND b.vec_id < 50")
+@query(f"WITH {E_SQL} SELECT a.vec_id AS i, b.vec_id AS j, round(list_distance(a.v, b.v), 6) AS dist FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0")
 def pairwise_l2(spark, d):
-    e = vec(spark, d).where("vec_id < 50")
-    half = e.select(F.col("vec_id").alias("i"), F.col("v").alias("a")).join(F.broadcast(e.select(F.col("vec_id").alias("j"), F.col("v").alias("b"))), F.col("i") < F.col("j")).select("i", "j", r6(V.l2(F.col("a"), F.col("b"))).alias("dist"))
-    return half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "dist"))
+    """Distances of the stated query rows to every other row."""
+    return cosine_pairs(spark, d).select(F.col("query_id").alias("i"), F.col("vec_id").alias("j"), r6(V.l2(F.col("q"), F.col("v"))).alias("dist"))
 
 
-@query(f"WITH {E_SQL} SELECT query_id, rank, vec_id, dist FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, c.vec_id, round(list_distance(q.v, c.v), 6) AS dist FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id < 10)) WHERE rank <= 30")
+@query(f"WITH {E_SQL} SELECT query_id, rank, vec_id, dist FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, c.vec_id, round(list_distance(q.v, c.v), 6) AS dist FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)) WHERE rank <= 30")
 def l2_topk(spark, d):
     return V.ranked(cosine_pairs(spark, d).select("query_id", "vec_id", r6(V.l2(F.col("q"), F.col("v"))).alias("dist")), "query_id", "dist", "vec_id", 30, False).select("query_id", "rank", "vec_id", "dist")
 
 
-DIM = f"{E_SQL}, u AS (SELECT vec_id, unnest(range(12)) AS dim, unnest(v[1:12]) AS x FROM e), m AS (SELECT dim, min(x) AS lo, max(x) AS hi FROM u GROUP BY 1)"
+DIM = f"{E_SQL}, u AS (SELECT vec_id, unnest(range(len(v))) AS dim, unnest(v) AS x FROM e), m AS (SELECT dim, min(x) AS lo, max(x) AS hi FROM u GROUP BY 1)"
 
 
 @query(f"WITH {DIM} SELECT CAST(dim AS INTEGER) AS dim, lo, hi FROM m")
 def dim_minmax(spark, d):
-    return V.dimension_ranges(vec(spark, d), "v", 12)
+    return V.dimension_ranges(vec(spark, d), "v")
 
 
 @query(f"WITH {DIM} SELECT vec_id, CAST(dim AS INTEGER) AS dim, CAST(trunc(greatest(0, least(1023, (x - lo) / (hi - lo) * 1023))) AS BIGINT) AS g FROM u JOIN m USING (dim)")
 def minmax_quantize(spark, d):
     e = vec(spark, d)
-    u = e.select("vec_id", F.posexplode(F.slice("v", 1, 12)).alias("dim", "x"))
-    return u.join(F.broadcast(V.dimension_ranges(e, "v", 12)), "dim").select("vec_id", "dim", V.to_grid(F.col("x"), F.col("lo"), F.col("hi"), 10).alias("g"))
+    u = e.select("vec_id", F.posexplode("v").alias("dim", "x"))
+    return u.join(V.dimension_ranges(e, "v"), "dim").select("vec_id", "dim", V.to_grid(F.col("x"), F.col("lo"), F.col("hi"), 10).alias("g"))
 
 
 KV = "kv AS (SELECT doc_id, (doc_id * 2654435761) % 65536 AS hkey, lang FROM documents), l AS (SELECT hkey, max(doc_id) AS doc_id FROM kv GROUP BY 1)"
@@ -181,10 +180,10 @@ def qrels_semi(spark, d):
     return S.table(spark, d, "documents").join(S.table(spark, d, "labels").where("quality > 0"), "doc_id", "left_semi").select("doc_id")
 
 
-@query(f"WITH {KV}, q AS (SELECT doc_id AS query_id, hkey AS qkey FROM l WHERE doc_id % 20 = 0) SELECT query_id, l.doc_id, qkey, hkey FROM q JOIN l ON hkey BETWEEN greatest(0, qkey - 500) AND least(65535, qkey + 500)")
+@query(f"WITH {KV}, q AS (SELECT doc_id AS query_id, hkey AS qkey FROM l WHERE doc_id % 50 = 0) SELECT query_id, l.doc_id, qkey, hkey FROM q JOIN l ON hkey BETWEEN greatest(0, qkey - 500) AND least(65535, qkey + 500)")
 def hilbert_range_join(spark, d):
     rows = kv(spark, d)
-    return V.range_join(rows.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("hkey").alias("qkey")), rows, 500, 65535)
+    return V.range_join(rows.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("hkey").alias("qkey")), rows, 500, 65535)
 
 
 @query(f"WITH {KV} SELECT doc_id, greatest(0, hkey - 500) AS lo, least(65535, hkey + 500) AS hi FROM l")

@@ -11,6 +11,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the folder that driver and executors share (spark.checkpoint.dir; a temporary one only where none is named)."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        import tempfile
+
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="shared-"))
+    return df.checkpoint(eager=True)
+
+
 def event_points(events: DataFrame) -> DataFrame:
     """Flat points of each user: (track, seq, t seconds since the first event, k, value)."""
     w = W.partitionBy("track").orderBy("us")
