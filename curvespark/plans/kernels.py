@@ -177,7 +177,7 @@ def synthetic_tracks(spark, d):
 @query(None)
 def curve_search(spark, d):
     from curvespark.operators import curve_store
-    from curvespark.sources.tables import table
+    from curvespark.sources.tables import cut, table
 
-    c = curve_store.text_curves(table(spark, d, "documents"))
+    c = cut(curve_store.text_curves(table(spark, d, "documents")))
     return curve_store.search(c, c.where("doc_id % 50 = 0").select("doc_id")).select("query_id", "doc_id", "rank", r6("dist").alias("dist"))
