@@ -3,7 +3,9 @@
 A payload becomes rows (record id, chunk number, bytes) of at most chunk_bytes; digests advance chunk by
 chunk, and neither side ever holds a whole record. Archives are .warc.gz files (one gzip member a record)
 in the shared folder. Null payloads are empty. Of records with equal payloads of at least
-min_revisit_bytes the smallest id is the response; repeated ids keep one record for each row.
+min_revisit_bytes the smallest id is the response; repeated ids keep one record for each row. Rows without
+an id keep their records as well: they revisit the smallest id of their payload, or are responses where none has one.
+Ids travel as text, so that ids beyond 2**53 and missing ones pass unchanged. An empty table gives no archives and no rows.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ CHUNK = 1 << 16
 
 
 def chunk_table(records: DataFrame, id_col: str, payload_col: str, chunk_bytes: int = CHUNK) -> DataFrame:
-    """Rows (record, chunk_no, last, chunk); a record's chunks stay adjacent and in order."""
+    """Rows (record as text, chunk_no, last, chunk); a record's chunks stay adjacent and in order."""
     data = F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8")
     n = F.greatest(F.lit(0), F.floor((F.octet_length("data") - 1) / F.lit(chunk_bytes))).cast("int")
-    rows = records.select(F.col(id_col).cast("long").alias("record"), data.alias("data"), *[c for c in ("record_type", "refers_to", "payload_digest", "payload_bytes") if c in records.columns])
+    told = records.withColumn("refers_to", F.col("refers_to").cast("string")) if "refers_to" in records.columns else records
+    rows = told.select(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")).alias("record"), data.alias("data"), *[c for c in ("record_type", "refers_to", "payload_digest", "payload_bytes") if c in records.columns])
     return rows.withColumn("n", n).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.col("n")))).withColumn(
         "chunk", F.substring(F.col("data"), F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes))).withColumn("last", F.col("chunk_no") == F.col("n")).drop("data", "n")
 
@@ -72,7 +75,7 @@ def _writer(folder: str):
                         revisit = kind == "revisit"
                         head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:record:{record}>\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Payload-Digest: sha1:{digest}\r\n"
                         if revisit:
-                            head += f"WARC-Refers-To: <urn:record:{int(refers)}>\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"
+                            head += f"WARC-Refers-To: <urn:record:{refers}>\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"
                         head += f"X-Payload-Length: {size}\r\nContent-Type: text/html\r\nContent-Length: {0 if revisit else size}\r\n\r\n"
                         sink.write(z.compress(head.encode()))
                     if kind != "revisit":
@@ -152,7 +155,8 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
 
     def read(batches):
         store, _ = _target(folder)
-        number = lambda urn: int(urn.rpartition(":")[2].rstrip(">"))
+        number = lambda urn: int(n) if (n := urn.rpartition(":")[2].rstrip(">")) else None
+        framed = lambda rows: pd.DataFrame({c: pd.array([r[i] for r in rows], dtype="Int64" if c in ("page_id", "refers_to") else None) for i, c in enumerate(COLUMNS)})
         for batch in batches:
             for path in batch["path"]:
                 out = []
@@ -163,9 +167,10 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
                             raise ValueError(f"digest mismatch in {path}")
                         out.append((number(heads["warc-record-id"]), int(heads["x-payload-length"]), said, kind, number(heads["warc-refers-to"]) if kind == "revisit" else None))
                         if len(out) >= 4096:
-                            yield pd.DataFrame(out, columns=COLUMNS).astype({"refers_to": "Int64"})
+                            yield framed(out)
                             out = []
-                yield pd.DataFrame(out, columns=COLUMNS).astype({"refers_to": "Int64"})
+                if out:
+                    yield framed(out)
 
     return files.repartition(max(1, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))), F.xxhash64("path")).mapInPandas(
         read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
@@ -176,10 +181,10 @@ COLUMNS = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_
 
 def decide(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", min_revisit_bytes: int = 0, chunk_bytes: int = CHUNK) -> DataFrame:
     """(record, payload_bytes, payload_digest, record_type, refers_to) for each row."""
-    sums = chunk_table(pages, id_col, payload_col, chunk_bytes).mapInPandas(digests, "record long, payload_bytes long, payload_digest string, sha string")
+    sums = chunk_table(pages, id_col, payload_col, chunk_bytes).mapInPandas(digests, "record string, payload_bytes long, payload_digest string, sha string").withColumn("record", F.expr("try_cast(record AS long)"))
     sums = common.cut(sums)
     first = sums.where(F.col("payload_bytes") >= min_revisit_bytes).groupBy("payload_digest").agg(F.min("record").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisit = F.col("first").isNotNull() & (F.col("first") != F.col("record"))
+    revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("record"))
     return sums.join(first, "payload_digest", "left").select(
         "record", "sha", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
 
@@ -190,7 +195,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = decide(pages)
     folder = common.fresh_path(spark, "warc")
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
-    records = pages.withColumnRenamed("page_id", "record").withColumn("sha", F.sha1(payload)).join(plan.dropDuplicates(["record", "sha"]), ["record", "sha"])
+    told = plan.dropDuplicates(["record", "sha"]).withColumnsRenamed({"record": "told_id", "sha": "told_sha"})
+    records = pages.withColumnRenamed("page_id", "record").withColumn("sha", F.sha1(payload))
+    records = records.join(told, F.col("record").eqNullSafe(F.col("told_id")) & (F.col("sha") == F.col("told_sha")))
     return read_archives(write_archives(records, folder, "record", "html"), folder)
 
 

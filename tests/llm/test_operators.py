@@ -210,7 +210,7 @@ def test_warc(spark, empty):
 
     from curvespark.llm import common, warc
 
-    pages = [(1, "a"), (2, "b" * 300_000), (3, "a"), (4, None), (5, ""), (6, "WARC/1.1\r\n\r\nü"), (7, "b" * 300_000), (8, "a")]
+    pages = [(1, "a"), (2, "b" * 300_000), (3, "a"), (4, None), (5, ""), (6, "WARC/1.1\r\n\r\nü"), (7, "b" * 300_000), (8, "a"), (2**53 + 1, "a"), (2**53 + 3, "c")]
     df = spark.createDataFrame([(i, h, "x", "y") for i, h in pages], "page_id long, html string, url string, payload_bytes string")
     path = common.fresh_path(spark, "pages")
     df.write.parquet(f"{path}/pages.parquet")
@@ -221,6 +221,14 @@ def test_warc(spark, empty):
         assert (got[i]["payload_bytes"], got[i]["payload_digest"]) == (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode())
         assert (got[i]["record_type"], got[i]["refers_to"]) == (("revisit", first[data]) if data in first else ("response", None))
         first.setdefault(data, i)
+    odd = [(None, "a"), (None, "z"), (None, None), (3, "a"), (3, "a"), (3, "q"), (4, "a")]
+    path = common.fresh_path(spark, "pages")
+    spark.createDataFrame([(i, h, "x", "y") for i, h in odd], "page_id long, html string, url string, sha string").write.parquet(f"{path}/pages.parquet")
+    seen = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"] or 0) for r in warc.op9_warc(spark, path).collect())
+    assert seen == [(0, "response", 0), (0, "response", 0), (0, "revisit", 3), (3, "response", 0), (3, "response", 0), (3, "response", 0), (4, "revisit", 3)]
+    path = common.fresh_path(spark, "pages")
+    spark.createDataFrame([], "page_id long, html string, url string").write.parquet(f"{path}/pages.parquet")
+    assert warc.op9_warc(spark, path).count() == 0
 
 
 def test_top_k(spark):
