@@ -181,3 +181,36 @@ def curve_search(spark, d):
 
     c = cut(curve_store.text_curves(table(spark, d, "documents")))
     return curve_store.search(c, c.where("doc_id % 50 = 0").select("doc_id")).select("query_id", "doc_id", "rank", r6("dist").alias("dist"))
+
+
+TOLERANCES = [5.0, 10.0, 20.0, 40.0, 80.0, 160.0]
+
+
+@query(None)
+def param_sweep(spark, d):
+    from curvespark.operators import sweeps
+
+    return sweeps.cheapest(sweeps.grid(points(spark, d), TOLERANCES), 50.0).select("track", "method", "tol", "kept", "bytes", r6("eps").alias("eps"))
+
+
+@query(None)
+def sweep_report(spark, d):
+    from curvespark.operators import sweeps
+
+    return sweeps.report(sweeps.grid(points(spark, d), TOLERANCES), 50.0).select("method", "tol", "tracks", *[r6(c).alias(c) for c in ("reached", "bytes", "eps_median", "eps_p99", "eps_max")])
+
+
+@query(None)
+def approx_error_rates(spark, d):
+    from curvespark.operators import sweeps
+
+    p = points(spark, d)
+    return sweeps.error_rates(sweeps.approximate_range(p, p, 200.0, 40.0))
+
+
+@query(f"""WITH {PTS}, m(j, distance) AS (VALUES (0, 50.0::DOUBLE), (1, 200.0::DOUBLE)), g AS (SELECT *, radians((track * 7919 + j * 104729) % 360) AS a FROM p, m)
+SELECT -(track * 2 + j) - 1 AS track, seq, round(x + distance * cos(a), 6) AS x, round(y + distance * sin(a), 6) AS y, track AS source, distance FROM g""")
+def near_duplicates(spark, d):
+    from curvespark.sources import synth
+
+    return synth.near_duplicates(points(spark, d), [50.0, 200.0]).select("track", "seq", r6("x").alias("x"), r6("y").alias("y"), "source", "distance")

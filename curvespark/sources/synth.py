@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SCHEMA = "track long, seq long, t double, x double, y double, vx double, vy double"
 
@@ -57,3 +58,32 @@ def tracks(spark: SparkSession, n: int, maker=kinematic, seed: int = 0, **option
                 yield d.assign(track=i, seq=range(len(d)))[["track", "seq", "t", "x", "y", "vx", "vy"]]
 
     return spark.range(n).mapInPandas(run, SCHEMA)
+
+
+def near_duplicates(points: DataFrame, distances: list[float], seed: int = 0) -> DataFrame:
+    """Copies of every track moved by each distance in a direction that follows from its number: (track, seq, t, x, y, source, distance).
+
+    A moved copy's Frechet distance to its source is the distance itself. Copy j of track i has the number -(i * copies + j) - 1.
+    """
+    moves = F.posexplode(F.array(*[F.lit(float(d)) for d in distances])).alias("_j", "distance")
+    p = points.select("track", "seq", "t", "x", "y", moves)
+    turn = F.radians(F.pmod(F.col("track") * 7919 + F.col("_j") * 104729 + seed, F.lit(360)).cast("double"))
+    number = (-(F.col("track") * len(distances) + F.col("_j")) - 1).alias("track")
+    return p.select(number, "seq", "t", (F.col("x") + F.col("distance") * F.cos(turn)).alias("x"), (F.col("y") + F.col("distance") * F.sin(turn)).alias("y"), F.col("track").alias("source"), "distance")
+
+
+def covering_duplicates(points: DataFrame, slack: DataFrame, radii: list[float], share: float = 0.1, rounds: int = 4) -> tuple[DataFrame, dict[float, float]]:
+    """Near-duplicates of which at least `share` lie in the hard band r +- 2 * eps of each radius, and the shares reached.
+
+    slack has (track, eps). Every round adds distances closer to the radii that lack; the driver sees one number a radius.
+    """
+    spread, made = [0.7, 1.0, 1.3], [r * f for r in radii for f in (0.7, 1.0, 1.3)]
+    for k in range(rounds + 1):
+        out = near_duplicates(points, made)
+        pairs = out.select("track", "source", "distance").distinct().join(slack.select(F.col("track").alias("source"), "eps"), "source")
+        got = pairs.agg(*[F.avg((F.abs(F.col("distance") - r) <= 2 * F.col("eps")).cast("double")).alias(str(i)) for i, r in enumerate(radii)]).first()
+        reached = {r: float(got[i] or 0.0) for i, r in enumerate(radii)}
+        lacking = [r for r in radii if reached[r] < share]
+        if not lacking or k == rounds:
+            return out, reached
+        made += [r * (1 + (f - 1) / 10 ** (k + 1)) for r in lacking for f in spread]
