@@ -23,8 +23,13 @@ def xy(x, y) -> np.ndarray:
 
 
 def map_rows(df: DataFrame, f, schema: str) -> DataFrame:
-    """f(row) -> iterable of tuples, over Arrow batches."""
+    """f(row) -> iterable of tuples, over Arrow batches.
+
+    Rows are small and kernels dear, so rows are dealt by their keys to all tasks, whatever their bytes come to.
+    """
     names = [c.strip().split()[0] for c in schema.split(", ")]
+    keys = [c for c in ("track", "q", "c", "query_id", "doc_id", "method", "tol") if c in df.columns]
+    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
     def run(batches):
         for batch in batches:
