@@ -28,6 +28,28 @@ def _diagonals(cost: np.ndarray, step) -> float:
     return float(lines[1][n - 1])
 
 
+def _diagonals_of_many(cost: np.ndarray, step) -> np.ndarray:
+    """_diagonals of each matrix of a stack (curves, n, m)."""
+    _, n, m = cost.shape
+    lines = [np.full(cost.shape[:2], np.inf), np.full(cost.shape[:2], np.inf)]
+    lines[1][:, 0] = cost[:, 0, 0]
+    for d in range(1, n + m - 1):
+        i = np.arange(max(0, d - m + 1), min(n, d + 1))
+        two, one = lines
+        best = one[:, i]
+        j = i[i > 0]
+        best[:, i > 0] = np.minimum(np.minimum(one[:, j - 1], best[:, i > 0]), two[:, j - 1])
+        now = np.full(cost.shape[:2], np.inf)
+        now[:, i] = step(cost[:, i, d - i], best)
+        lines = [one, now]
+    return lines[1][:, n - 1]
+
+
+def to_many(q: np.ndarray, many: np.ndarray, step) -> np.ndarray:
+    """Discrete Frechet (step np.maximum) or DTW (np.add) of q to each curve of a stack (curves, points, dimensions)."""
+    return _diagonals_of_many(np.sqrt(((many[:, :, None, :] - q[None, None]) ** 2).sum(axis=3)), step)
+
+
 def discrete_frechet(p: np.ndarray, q: np.ndarray) -> float:
     return _diagonals(gaps(p, q), np.maximum)
 

@@ -108,7 +108,7 @@ class TextVectors(Log):
 
 
 class TextCurves(Log):
-    """Texts searched as curves: principal scores first, the curve metric on the candidates."""
+    """Texts searched as curves: principal scores fix a radius, the curve metric decides on every curve that a bound leaves within it."""
 
     def __init__(self, spark: SparkSession, path: str, components: int = 8):
         super().__init__(spark, path, "doc_id")
@@ -117,7 +117,7 @@ class TextCurves(Log):
     def add_documents(self, docs: DataFrame) -> None:
         self.put(curve_store.text_curves(docs))
 
-    def search(self, query_ids: DataFrame, k: int = 10, rerank_factor: int = 5, metric: str = "frechet") -> DataFrame:
+    def search(self, query_ids: DataFrame, k: int = 10, rerank_factor: int = 10, metric: str = "frechet") -> DataFrame:
         return curve_store.search(self.rows(), query_ids, k, rerank_factor, metric, self.components)
 
 

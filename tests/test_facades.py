@@ -77,3 +77,22 @@ def test_near_duplicates(points):
     source = {r["track"]: r["distance"] for r in some.select("track", "distance").distinct().collect()}
     for track, xy in of(some).items():
         assert abs(curves.discrete_frechet(base[0], xy) - source[track]) < 1e-6
+
+
+@pytest.mark.parametrize("metric", ["frechet", "dtw", "l2", "cosine"])
+def test_curve_search_is_exact(spark, tmp_path, metric):
+    from curvespark.operators import curve_store
+
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(40)]
+    texts = [(i, " ".join(rng.choice(words, rng.integers(2, 12)))) for i in range(240)]
+    db = facades.TextCurves(spark, f"{tmp_path}/c")
+    db.add_documents(spark.createDataFrame(texts + [(300, None), (301, texts[40][1])], "doc_id long, text string"))
+    asked = [0, 40, 80, 120]
+    got = {}
+    for r in db.search(spark.createDataFrame([(i,) for i in asked], "doc_id long"), 5, 2, metric).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["doc_id"], round(r["dist"], 9))
+    p = {i: curve_store.sampled(curve_store.token_vectors(t)) for i, t in [*texts, (301, texts[40][1])]}
+    for q in asked:
+        want = sorted((round(curve_store.METRICS[metric](p[q], p[i]), 9), i) for i in p if i != q)[:5]
+        assert got[q] == {k + 1: (i, d) for k, (d, i) in enumerate(want)}
