@@ -15,6 +15,8 @@ gapless packing for every split.
 from __future__ import annotations
 
 import heapq
+import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -29,6 +31,9 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 CACHE = 400_000
 #: Marks that form a piece of their own after a word's letters.
 TAIL = ".,!?;:|*$#%&"
+#: The tokenizer's white space; str.split also takes U+001C to U+001F, which have ids.
+SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+ODD = re.compile("[\x1c-\x1f]")
 
 
 class WordEncoder:
@@ -53,9 +58,14 @@ class WordEncoder:
         if any(s in text for s in self.special):
             ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
             return np.concatenate((ids, self.end))
-        # case only differs by single letters, but for these two
-        low = text if "\u03a3" in text or "\u0130" in text else text.lower()
-        parts = low.split()
+        low = text.lower()
+        if not text.isascii():
+            # case only differs by single letters, but for these two; the tokenizer composes (NFC) before it lowers,
+            # so where either form would still compose, the words are left to it as they are
+            composed = unicodedata.is_normalized("NFC", low) and unicodedata.is_normalized("NFC", text)
+            if not composed or "\u03a3" in text or "\u0130" in text:
+                low = text
+        parts = [w for w in SPACE.split(low) if w] if ODD.search(low) else low.split()
         return np.concatenate((np.frombuffer(b"".join(self.learned(parts)), "<u4"), self.end))
 
     def learned(self, parts: list[str]) -> list[bytes]:

@@ -147,6 +147,19 @@ def test_packing(spark, docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_packing_encodes_like_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from curvespark.llm import packing
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, encode = Tokenizer.from_file(path), packing.WordEncoder(path)
+    odd = ["abc\x1cdef \x1c x", "\x1d\x1e \x1f", "a\x85b\u3000c\u2003\x1fd", "J\u030c H\u0331 T\u0308 j\u030c", "E\u0301 e\u0301 \u212b", "\u03a3\u0391\u03a3 \u0130x I\u0307", "J\u030c. (J\u030c) 1J\u030c\x1c,"]
+    for x in odd + ["plain Words. " + " | ".join(odd)]:
+        assert encode(x).tolist() == [*t.encode(x, add_special_tokens=False).ids, 1], x
+
+
 def test_bpe(spark, docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
