@@ -14,12 +14,14 @@ which carry the full sets, skip what is already joined and give the links of a s
 no link between components is missed among pairs within t, and a group of n texts makes rows in proportion to
 n, not to its pairs.
 
-doc_id is the key: rows without one, and texts without a word, link with nothing; of repeated ids with
-different texts the links of one text count.
+Distinct sets, not doc_ids, are what is linked, each under a number of its own. Rows without a doc_id, and texts
+without a word, link with nothing. Each text of a repeated id links on its own; component_id is the smallest doc_id
+of the text's component, so components of different texts of one id may share it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -32,7 +34,7 @@ from . import common
 K, MISS = 64, 1e-6
 #: Rows and shingles of one side of a tile.
 TILE, TILE_SHINGLES = 512, 1_000_000
-#: Up to so many ids (1.6 MB) are broadcast.
+#: Up to so many sets' numbers (48 bytes a row with fingerprint, 10 MB) are broadcast.
 SENT_IDS = 200_000
 #: Four-bit symbols of the sketch that candidates must also pass.
 SKETCH = 512
@@ -111,9 +113,11 @@ def parts(blobs) -> tuple[np.ndarray, np.ndarray]:
     return both[:, :K], np.ascontiguousarray(both[:, K:]).view(np.uint8)
 
 
-def _features(size: int):
-    import hashlib
+def fingerprint(members: np.ndarray) -> bytes:
+    return hashlib.blake2b(members.tobytes(), digest_size=16).digest()
+
 
+def _features(size: int):
     def run(batches):
         with np.errstate(over="ignore"):
             for batch in batches:
@@ -123,7 +127,7 @@ def _features(size: int):
                     some = [i for i, s in enumerate(sets) if len(s)]
                     sig = signatures([sets[i] for i in some]) if some else []
                     row = dict(zip(some, sig))
-                    yield pd.DataFrame({"doc_id": ids[a:b], "n_shingles": [len(s) for s in sets], "fp": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
+                    yield pd.DataFrame({"doc_id": ids[a:b], "n_shingles": [len(s) for s in sets], "fp": [fingerprint(s) if len(s) else None for s in sets],
                                         "sig": [row[i].tobytes() if i in row else None for i in range(len(sets))]})
 
     return run
@@ -182,21 +186,23 @@ def _members(size: int):
     def run(batches):
         with np.errstate(over="ignore"):
             for batch in batches:
-                texts, ids = batch["text"].tolist(), batch["doc_id"].tolist()
+                texts, ids, fps = batch["text"].tolist(), batch["id"].tolist(), batch["fp"].tolist()
                 for a, b in common.slices(texts, 1_000_000):
-                    yield pd.DataFrame({"id": ids[a:b], "members": [packed(s) for s in shingles(texts[a:b], size)]})
+                    # the document may have other texts under its id
+                    own = [(i, packed(s)) for i, fp, s in zip(ids[a:b], fps[a:b], shingles(texts[a:b], size)) if len(s) and fingerprint(s) == bytes(fp)]
+                    yield pd.DataFrame(own, columns=["id", "members"])
 
     return run
 
 
-def full_sets(named: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """(id, members) of the documents that named (doc_id, distinct) lists; no other text moves."""
+def full_sets(named: DataFrame, reps: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(id, members) of the sets that named (id, distinct) lists, from their smallest documents; no other text moves."""
     spark = docs.sparkSession
-    named = common.cut(named)
+    named = common.cut(named.join(reps.select("id", "fp", F.col("least").alias("doc_id")), "id"))
     # a side of checked size is sent to all tasks; a larger one meets the texts by a shuffle
     small = named.count() <= SENT_IDS
     path = common.fresh_path(spark, "members")
-    docs.select("doc_id", "text").join(F.broadcast(named) if small else named, "doc_id", "left_semi").mapInPandas(_members(size), "id long, members binary").write.parquet(path)
+    docs.select("doc_id", "text").join(F.broadcast(named) if small else named, "doc_id").select("id", "fp", "text").mapInPandas(_members(size), "id long, members binary").write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -205,7 +211,7 @@ def confirmed(pairs: DataFrame, features: DataFrame, docs: DataFrame, size: int,
     side = lambda c: features.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     near = common.cut(sized.select("a", "b", "sig_a", "sig_b").mapInPandas(_near(limit, distance_limit(percent / 100, SKETCH, 4)), "a long, b long"))
-    sets = full_sets(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), docs, size)
+    sets = full_sets(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), features, docs, size)
     full = lambda c: sets.select(F.col("id").alias(c), F.col("members").alias(f"set_{c}"))
     return common.cut(near.join(full("a"), "a").join(full("b"), "b").select("a", "b", "set_a", "set_b").mapInPandas(_alike(percent), "a long, b long"))
 
@@ -280,9 +286,11 @@ def components(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> Da
     path = common.fresh_path(spark, "shingles")
     docs.select("doc_id", "text").mapInPandas(_features(shingle_words), "doc_id long, n_shingles long, fp binary, sig binary").write.parquet(path)
     features = spark.read.parquet(path)
-    copies = features.where("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("id"))
+    copies = features.where("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least"))
     sets = common.fresh_path(spark, "sets")
-    copies.join(features.where("fp IS NOT NULL").select("fp", F.col("doc_id").alias("id"), "n_shingles", "sig"), ["fp", "id"]).drop("fp").dropDuplicates(["id"]).write.parquet(sets)
+    # one row a distinct set; its number is made and written once
+    own = copies.join(features.where("fp IS NOT NULL").select("fp", F.col("doc_id").alias("least"), "n_shingles", "sig"), ["fp", "least"]).dropDuplicates(["fp", "least"])
+    own.withColumn("id", F.monotonically_increasing_id()).write.parquet(sets)
     reps = spark.read.parquet(sets)
     keys = reps.select("id", "sig").mapInPandas(_keys(limit), "key long, id long")
     hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
@@ -304,13 +312,14 @@ def components(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> Da
     found = connected(links)
     tiles = F.ceil(F.greatest(F.col("n") / TILE, F.col("total") / TILE_SHINGLES)).cast("int")
     open_rows = common.cut(open_groups().select("hub", "id", "comp", tiles.alias("tiles"), F.pmod(F.xxhash64("id"), tiles).cast("int").alias("tile")))
-    full = full_sets(open_rows.select(F.col("id").alias("doc_id")).distinct(), docs, shingle_words).dropDuplicates(["id"])
+    full = full_sets(open_rows.select("id").distinct(), reps, docs, shingle_words).dropDuplicates(["id"])
     spread = open_rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("hub", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "id", "comp", "tile")
     dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rest = spread.join(reps.select("id", "sig").join(full, "id"), "id").repartition(dealt, "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
     rest = rest.mapInPandas(_tiles(limit, distance_limit(percent / 100, SKETCH, 4), percent), "a long, b long")
     found = connected(links.union(rest))
-    whole = copies.join(found, "id", "left").select("fp", F.coalesce("comp", "id").alias("component"))
+    named = common.cut(reps.select("id", "fp", "least").join(found, "id", "left").select("fp", "least", F.coalesce("comp", "id").alias("comp")))
+    whole = named.join(named.groupBy("comp").agg(F.min("least").alias("component")), "comp").select("fp", "component")
     out = features.select("doc_id", "n_shingles", "fp").join(whole, "fp", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

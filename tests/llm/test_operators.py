@@ -114,6 +114,18 @@ def test_near_duplicates(spark, docs, empty, size, percent):
     assert neardup.components(empty, size, percent).count() == 0
 
 
+def test_near_duplicates_of_an_id_with_two_texts(spark):
+    from curvespark.llm import neardup
+
+    rng = random.Random(8)
+    a, b = ([f"{c}{rng.randrange(10**6)}" for _ in range(150)] for c in "ab")
+    near = lambda w: " ".join(w[:-1] + ["other"])
+    a, near_a, b, near_b = " ".join(a), near(a), " ".join(b), near(b)
+    rows = [(1, a), (1, b), (5, a), (6, b), (7, near_a), (8, near_b), (3, near_b), (None, a)]
+    got = neardup.components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in got) == [(0, 0, True), (1, 1, True), (1, 1, True), (3, 1, False), (5, 1, False), (6, 1, False), (7, 1, False), (8, 1, False)]
+
+
 def test_pigeonhole():
     from curvespark.llm import neardup
 
