@@ -1,6 +1,9 @@
 """From documents to packed sequences: language ID, quality rules, near-duplicates, packing.
 
 run() writes each stage's rows as Parquet to the shared folder and reads them back for the next one.
+
+Verdicts go back to rows by id and text, so each text of a repeated id has its own verdict. Rows without an id are
+judged as others are and link with nothing, so no near-duplicate stage drops them; of rows of equal id and text one is packed.
 """
 
 from __future__ import annotations
@@ -22,16 +25,28 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return got.where("lang_pred <> 'und'").select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
+def keyed(docs: DataFrame, *more: str) -> DataFrame:
+    """docs with row_key: equal for rows of equal id and text (and more), null being a value of its own."""
+    text = lambda c: F.coalesce(c, F.lit("-"))
+    return docs.withColumn("row_key", F.concat_ws("|", text(F.col("doc_id").cast("string")), text(F.md5("text")), *more))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that pass the base rules and their stratum's certified cutoffs."""
-    verdict = quality.judged(docs, common.table(spark, sf_dir, "labels"))
-    return docs.join(verdict.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
+    """Keeps rows that pass the base rules and their stratum's certified cutoffs, with or without an id."""
+    docs = keyed(docs, "lang")
+    verdict = quality.judged(docs, common.table(spark, sf_dir, "labels"), named=("row_key",))
+    return docs.join(verdict.where("kept").select("row_key").distinct(), "row_key", "left_semi").select(*COLUMNS)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each near-duplicate group."""
-    kept = neardup.components(docs, shingle_words=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Keeps one row of each near-duplicate group, one of its smallest doc_id; one row of equal id and text where
+    there are no words; every row without an id."""
+    docs = keyed(docs)
+    named = docs.where("doc_id IS NOT NULL")
+    told = neardup.linked(named, shingle_words=5, percent=80, named=("row_key",))
+    first = told.where("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct("doc_id", "row_key")).alias("k")).select("k.row_key")
+    kept = first.union(told.where("comp IS NULL").select("row_key").distinct())
+    return named.join(kept, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*COLUMNS).union(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

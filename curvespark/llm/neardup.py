@@ -117,7 +117,7 @@ def fingerprint(members: np.ndarray) -> bytes:
     return hashlib.blake2b(members.tobytes(), digest_size=16).digest()
 
 
-def _features(size: int):
+def _features(size: int, named: tuple = ()):
     def run(batches):
         with np.errstate(over="ignore"):
             for batch in batches:
@@ -128,7 +128,7 @@ def _features(size: int):
                     sig = signatures([sets[i] for i in some]) if some else []
                     row = dict(zip(some, sig))
                     yield pd.DataFrame({"doc_id": ids[a:b], "n_shingles": [len(s) for s in sets], "fp": [fingerprint(s) if len(s) else None for s in sets],
-                                        "sig": [row[i].tobytes() if i in row else None for i in range(len(sets))]})
+                                        "sig": [row[i].tobytes() if i in row else None for i in range(len(sets))], **{c: batch[c].iloc[a:b].tolist() for c in named}})
 
     return run
 
@@ -278,13 +278,17 @@ def _tiles(limit: int, apart: int, percent: int):
     return run
 
 
-def components(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text)."""
+def linked(docs: DataFrame, shingle_words: int = 5, percent: int = 80, named: tuple = ()) -> DataFrame:
+    """(doc_id, n_shingles, comp, component and the string columns named) for each row of docs (doc_id, text).
+
+    comp numbers the components, component is their smallest doc_id; both null without an id or a word.
+    """
     spark = docs.sparkSession
     common.text_batches(spark)
     limit = distance_limit(percent / 100)
     path = common.fresh_path(spark, "shingles")
-    docs.select("doc_id", "text").mapInPandas(_features(shingle_words), "doc_id long, n_shingles long, fp binary, sig binary").write.parquet(path)
+    schema = ", ".join(["doc_id long, n_shingles long, fp binary, sig binary", *(f"{c} string" for c in named)])
+    docs.select("doc_id", "text", *named).mapInPandas(_features(shingle_words, named), schema).write.parquet(path)
     features = spark.read.parquet(path)
     copies = features.where("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least"))
     sets = common.fresh_path(spark, "sets")
@@ -318,10 +322,15 @@ def components(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> Da
     rest = spread.join(reps.select("id", "sig").join(full, "id"), "id").repartition(dealt, "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
     rest = rest.mapInPandas(_tiles(limit, distance_limit(percent / 100, SKETCH, 4), percent), "a long, b long")
     found = connected(links.union(rest))
-    named = common.cut(reps.select("id", "fp", "least").join(found, "id", "left").select("fp", "least", F.coalesce("comp", "id").alias("comp")))
-    whole = named.join(named.groupBy("comp").agg(F.min("least").alias("component")), "comp").select("fp", "component")
-    out = features.select("doc_id", "n_shingles", "fp").join(whole, "fp", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    of_set = common.cut(reps.select("id", "fp", "least").join(found, "id", "left").select("fp", "least", F.coalesce("comp", "id").alias("comp")))
+    whole = of_set.join(of_set.groupBy("comp").agg(F.min("least").alias("component")), "comp")
+    some = lambda c: F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c)
+    return features.select("doc_id", "n_shingles", "fp", *named).join(whole, "fp", "left").select("doc_id", "n_shingles", some("comp"), some("component"), *named)
+
+
+def components(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text)."""
+    out = linked(docs, shingle_words, percent).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -83,9 +83,9 @@ def cutoffs(labelled: DataFrame, alpha: float, delta: float, strata: Column | No
     return best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cut"))).alias("cuts"))
 
 
-def judged(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05, text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """docs' ids with measures, base_failed and kept. One pass over the texts; the fit reads the measures only."""
-    d = measured(docs.select("doc_id", F.coalesce(F.col(stratum_col).cast("string"), F.lit("?")).alias("stratum"), F.col(text_col).alias("text")), "text").drop("text")
+def judged(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05, text_col: str = "text", stratum_col: str = "lang", named: tuple = ()) -> DataFrame:
+    """docs' ids and columns named with measures, base_failed and kept. One pass over the texts; the fit reads the measures only."""
+    d = measured(docs.select("doc_id", F.coalesce(F.col(stratum_col).cast("string"), F.lit("?")).alias("stratum"), F.col(text_col).alias("text"), *named), "text").drop("text")
     d = common.cut(d.withColumn("base_failed", base_failed()).withColumn("shares", _shares()))
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     labelled = d.where(~F.col("base_failed")).join(marks, "doc_id").select("stratum", "shares", (F.col("quality") == 1).alias("good"))

@@ -287,6 +287,22 @@ def test_pipeline(spark, tmp_path):
     assert (out.groupby("doc_id").length.sum() == out.groupby("doc_id").doc_tokens.first()).all()
 
 
+def test_pipeline_judges_rows_without_and_with_repeated_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    a, b, c, d = (" ".join(f"{k}{rng.randrange(10**6)}" for _ in range(80)) for k in "abcd")
+    rows = [(None, a), (None, a), (None, b), (None, "short"), (None, None), (1, c), (1, c), (1, "same " * 80), (1, d), (2, c), (3, d), (4, a), (4, a.upper())]
+    docs = spark.createDataFrame([(i, t, "xx", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    good = corpus_pipeline.quality_stage(spark, docs, "/root/testdata/sf0.001")
+    key = lambda df: sorted((r["doc_id"] or 0, r["text"]) for r in df.collect())
+    bad = {"short", None, "same " * 80}
+    assert key(good) == sorted((i or 0, t) for i, t in rows if t not in bad)
+    out = corpus_pipeline.dedup_stage(spark, good, "")
+    got = key(out)
+    assert [x for x in got if x[0] < 4] == sorted([(0, a), (0, a), (0, b), (1, c), (1, d)]) and sum(x[0] == 4 for x in got) == 1
+
+
 def test_tile_joins_components_like_brute_force():
     from curvespark.llm import neardup
 
