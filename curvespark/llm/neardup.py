@@ -8,11 +8,15 @@ wrong symbol: one key per chunk and left-out symbol finds it. Candidates must th
 symbols, its limit set alike, and are confirmed on the full sets.
 
 Links are sought until components are certain, not until all pairs are listed. Buckets with the same smallest
-id, their hub, form one group, as alike texts share many buckets. A group's members are first linked to the
-hub, then to a second member drawn by hash. Only groups that still hold several components are compared in tiles,
-which carry the full sets, skip what is already joined and give the links of a spanning forest alone. So
-no link between components is missed among pairs within t, and a group of n texts makes rows in proportion to
-n, not to its pairs.
+id, their hub, form one group, as alike texts share many buckets; keys with very many rows meet their hub by a
+broadcast instead of one task. A group's members are first linked to the hub, then to a second member drawn by
+hash. Of groups that still hold several components, sets stay open only if enough of their shingles occur in
+another open set: shingles of its own alone bound the similarity a set can reach with any other, exactly. What is
+left is compared in tiles, the largest component's rows against the others' and these among themselves, never the
+largest component within itself. A row is carried once for each tile of its group's smaller components, so rows
+grow with the group where star links and bounds settle it, and with rows times tiles for
+members that stay apart though each could still link with some other. Tiles skip what is already joined and give
+the links of a spanning forest alone.
 
 Distinct sets, not doc_ids, are what is linked, each under a number of its own. Rows without a doc_id, and texts
 without a word, link with nothing. Each text of a repeated id links on its own; component_id is the smallest doc_id
@@ -33,7 +37,9 @@ from . import common
 
 K, MISS = 64, 1e-6
 #: Rows and shingles of one side of a tile.
-TILE, TILE_SHINGLES = 512, 1_000_000
+TILE, TILE_SHINGLES = 1024, 1_000_000
+#: Keys with more rows than this, and than one in HOT_SHARE of all sets, meet their hub by a broadcast; at most K * HOT_SHARE keys have that many.
+HOT_ROWS, HOT_SHARE = 100_000, 1000
 #: Up to so many sets' numbers (48 bytes a row with fingerprint, 10 MB) are broadcast.
 SENT_IDS = 200_000
 #: Four-bit symbols of the sketch that candidates must also pass.
@@ -195,27 +201,38 @@ def _members(size: int):
     return run
 
 
-def full_sets(named: DataFrame, reps: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """(id, members) of the sets that named (id, distinct) lists, from their smallest documents; no other text moves."""
+def full_sets(named: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(id, members) of the sets that named (id, fp, doc_id; checkpointed) lists, from their smallest documents; no other text moves."""
     spark = docs.sparkSession
-    named = common.cut(named.join(reps.select("id", "fp", F.col("least").alias("doc_id")), "id"))
     # a side of checked size is sent to all tasks; a larger one meets the texts by a shuffle
     small = named.count() <= SENT_IDS
     path = common.fresh_path(spark, "members")
-    docs.select("doc_id", "text").join(F.broadcast(named) if small else named, "doc_id").select("id", "fp", "text").mapInPandas(_members(size), "id long, members binary").write.parquet(path)
+    texts = docs.select("doc_id", "text").join(F.broadcast(named) if small else named, "doc_id").select("id", "fp", "text")
+    texts.mapInPandas(_members(size), "id long, members binary").dropDuplicates(["id"]).write.parquet(path)
     return spark.read.parquet(path)
 
 
-def confirmed(pairs: DataFrame, features: DataFrame, docs: DataFrame, size: int, limit: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, features: DataFrame, sets: DataFrame, limit: int, percent: int) -> DataFrame:
     """Of distinct pairs (a, b) those within the distance limit whose full sets are alike."""
     side = lambda c: features.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     near = common.cut(sized.select("a", "b", "sig_a", "sig_b").mapInPandas(_near(limit, distance_limit(percent / 100, SKETCH, 4)), "a long, b long"))
-    sets = full_sets(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), features, docs, size)
     full = lambda c: sets.select(F.col("id").alias(c), F.col("members").alias(f"set_{c}"))
     return common.cut(near.join(full("a"), "a").join(full("b"), "b").select("a", "b", "set_a", "set_b").mapInPandas(_alike(percent), "a long, b long"))
 
 
+def _spread(batches):
+    for batch in batches:
+        for i, blob in zip(batch["id"], batch["members"]):
+            yield pd.DataFrame({"id": i, "h": unpacked(blob).view(np.int64)})
+
+
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """(id, own): how many shingles of each of sets (id, members) no other of them has; no row where none."""
+    seen = sets.mapInPandas(_spread, "id long, h long").groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    return seen.where("n = 1").groupBy("id").agg(F.count("*").alias("own"))
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(id, comp): smallest id reachable, for each id that edges (a, b) mention; alternating large and small stars."""
     e = common.cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
@@ -233,8 +250,8 @@ def connected(edges: DataFrame) -> DataFrame:
         mark = now
 
 
-def joined(ids, comp, tile, same: bool, blobs, sets, limit: int, apart: int, percent: int) -> list[tuple[int, int]]:
-    """Links that join the components of one tile's rows; of two different tiles only pairs across them count."""
+def joined(ids, comp, tile, own, same: bool, blobs, sets, limit: int, apart: int, percent: int) -> list[tuple[int, int]]:
+    """Links that join the components of one tile's rows; of two different tiles only pairs across them count. own: shingles that no other row has."""
     sig, sketch = parts(blobs)
     sets = [unpacked(x) for x in sets]
     n = np.array([len(x) for x in sets])
@@ -242,7 +259,8 @@ def joined(ids, comp, tile, same: bool, blobs, sets, limit: int, apart: int, per
     mark = np.zeros(n.sum(), dtype=bool)
     comp, links = np.unique(comp, return_inverse=True)[1], []
     for i in range(len(ids)):
-        other = np.flatnonzero((comp != comp[i]) & (ids > ids[i]) & (same | (tile != tile[i])) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+        # what two sets share is at most what either has in common with any other
+        other = np.flatnonzero((comp != comp[i]) & (ids > ids[i]) & (same | (tile != tile[i])) & ((100 + percent) * np.minimum(n - own, n[i] - own[i]) >= percent * (n + n[i])))
         other = other[(sig[other] != sig[i]).sum(axis=1) <= limit]
         other = other[_APART[sketch[other] ^ sketch[i]].sum(axis=1, dtype=int) <= apart]
         mark[codes[i]] = True
@@ -260,13 +278,13 @@ def _tiles(limit: int, apart: int, percent: int):
     """Links (a, b) of each tile pair (hub, i, j), whose rows come together."""
 
     def out(at, rows):
-        ids, comp, tile = (np.array([r[c] for r in rows]) for c in (0, 1, 2))
-        return pd.DataFrame(joined(ids, comp, tile, at[1] == at[2], [r[3] for r in rows], [r[4] for r in rows], limit, apart, percent), columns=["a", "b"], dtype="int64")
+        ids, comp, tile, own = (np.array([r[c] for r in rows]) for c in (0, 1, 2, 3))
+        return pd.DataFrame(joined(ids, comp, tile, own, at[1] == at[2], [r[4] for r in rows], [r[5] for r in rows], limit, apart, percent), columns=["a", "b"], dtype="int64")
 
     def run(batches):
         held, at = [], None
         for batch in batches:
-            for hub, i, j, *row in zip(*(batch[c] for c in ("hub", "i", "j", "id", "comp", "tile", "sig", "members"))):
+            for hub, i, j, *row in zip(*(batch[c] for c in ("hub", "i", "j", "id", "comp", "tile", "own", "sig", "members"))):
                 if (hub, i, j) != at:
                     if held:
                         yield out(at, held)
@@ -278,6 +296,46 @@ def _tiles(limit: int, apart: int, percent: int):
     return run
 
 
+def groups(reps: DataFrame, limit: int) -> DataFrame:
+    """(hub, id), distinct: sets of reps (id, sig) that share a key with others, under the smallest id of their bucket."""
+    spark = reps.sparkSession
+    keys = reps.select("id", "sig").mapInPandas(_keys(limit), "key long, id long")
+    hubs = common.cut(keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1"))
+    hot = hubs.where(F.col("n") > max(HOT_ROWS, reps.count() // HOT_SHARE)).select("key", "hub")
+    path = common.fresh_path(spark, "groups")
+    if hot.isEmpty():
+        met = keys.join(hubs.select("key", "hub"), "key")
+    else:
+        met = keys.join(F.broadcast(hot), "key", "left_anti").join(hubs.select("key", "hub"), "key").select("hub", "id").union(keys.join(F.broadcast(hot), "key").select("hub", "id"))
+    met.select("hub", "id").distinct().write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def tiled(rows: DataFrame, features: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows of each tile pair (hub, i, j) of open groups (hub, id, comp), together and with all that comparing them takes."""
+    spark = rows.sparkSession
+    rows = common.cut(rows.join(features.select("id", "n_shingles"), "id"))
+    own = own_shingles(sets.join(rows.select("id").distinct(), "id", "left_semi"))
+    rows = rows.join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0))).where((F.col("n_shingles") - F.col("own")) * 100 >= F.col("n_shingles") * percent)
+    rows = common.cut(rows)
+    sizes = rows.groupBy("hub", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"))
+    most = F.max(F.struct("n", "total", "comp"))
+    sizes = sizes.groupBy("hub").agg(F.count("*").alias("comps"), most.alias("big"), F.sum("n").alias("n"), F.sum("total").alias("total")).where("comps > 1")
+    tiles = lambda n, total: F.ceil(F.greatest(n / F.lit(TILE), total / F.lit(TILE_SHINGLES))).cast("int")
+    one = (F.col("n") <= TILE) & (F.col("total") <= TILE_SHINGLES)
+    sizes = sizes.select("hub", F.col("big.comp").alias("big"), F.when(one, 0).otherwise(tiles(F.col("big.n"), F.col("big.total"))).alias("tb"),
+                         F.when(one, 1).otherwise(tiles(F.col("n") - F.col("big.n"), F.col("total") - F.col("big.total"))).alias("tr"))
+    rows = rows.join(sizes, "hub")
+    # tiles below tb hold the largest component, the others the rest
+    deal = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    within = (F.col("comp") == F.col("big")) & (F.col("tb") > 0)
+    rows = rows.withColumn("tile", F.when(within, deal(F.col("tb"))).otherwise(F.col("tb") + deal(F.col("tr"))))
+    others = F.when(within, F.sequence("tb", F.col("tb") + F.col("tr") - 1)).otherwise(F.sequence(F.lit(0), F.col("tb") + F.col("tr") - 1))
+    spread = rows.withColumn("o", F.explode(others)).select("hub", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "id", "comp", "tile", "own")
+    whole = spread.join(features.select("id", "sig").join(sets, "id"), "id")
+    return whole.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+
+
 def linked(docs: DataFrame, shingle_words: int = 5, percent: int = 80, named: tuple = ()) -> DataFrame:
     """(doc_id, n_shingles, comp, component and the string columns named) for each row of docs (doc_id, text).
 
@@ -296,32 +354,23 @@ def linked(docs: DataFrame, shingle_words: int = 5, percent: int = 80, named: tu
     own = copies.join(features.where("fp IS NOT NULL").select("fp", F.col("doc_id").alias("least"), "n_shingles", "sig"), ["fp", "least"]).dropDuplicates(["fp", "least"])
     own.withColumn("id", F.monotonically_increasing_id()).write.parquet(sets)
     reps = spark.read.parquet(sets)
-    keys = reps.select("id", "sig").mapInPandas(_keys(limit), "key long, id long")
-    hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    path = common.fresh_path(spark, "groups")
-    keys.join(hubs, "key").select("hub", "id").distinct().write.parquet(path)
-    members = spark.read.parquet(path)
-    links = confirmed(members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")), reps, docs, shingle_words, limit, percent)
+    members = groups(reps, limit)
+    grouped = common.cut(reps.join(members.select("id").distinct(), "id", "left_semi").select("id", "fp", F.col("least").alias("doc_id"), "n_shingles", "sig"))
+    full = full_sets(grouped.select("id", "fp", "doc_id"), docs, shingle_words)
+    links = confirmed(members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")), grouped, full, limit, percent)
     found = connected(links)
 
     def open_groups():
-        """Members of groups that still hold several components, with what is known of the group."""
-        m = members.join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id")).join(reps.select("id", "n_shingles"), "id")
-        of_group = (F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.sum("n_shingles").alias("total"), F.min(F.struct(F.xxhash64("id", "hub"), "id", "comp")).alias("h"))
-        split = common.cut(m.groupBy("hub").agg(*of_group).where("lo <> hi"))
-        return m.join(F.broadcast(split) if split.count() <= SENT_IDS else split, "hub")
+        """Members of groups that still hold several components, with a member drawn from each."""
+        m = members.join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        split = m.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("id", "hub"), "id", "comp")).alias("h")).where("lo <> hi").select("hub", "h")
+        return m.join(split, "hub")
 
     pairs = open_groups().where(F.col("comp") != F.col("h.comp")).select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).distinct()
-    links = links.union(confirmed(pairs, reps, docs, shingle_words, limit, percent))
+    links = links.union(confirmed(pairs, grouped, full, limit, percent))
     found = connected(links)
-    tiles = F.ceil(F.greatest(F.col("n") / TILE, F.col("total") / TILE_SHINGLES)).cast("int")
-    open_rows = common.cut(open_groups().select("hub", "id", "comp", tiles.alias("tiles"), F.pmod(F.xxhash64("id"), tiles).cast("int").alias("tile")))
-    full = full_sets(open_rows.select("id").distinct(), reps, docs, shingle_words).dropDuplicates(["id"])
-    spread = open_rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("hub", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "id", "comp", "tile")
-    dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rest = spread.join(reps.select("id", "sig").join(full, "id"), "id").repartition(dealt, "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
-    rest = rest.mapInPandas(_tiles(limit, distance_limit(percent / 100, SKETCH, 4), percent), "a long, b long")
-    found = connected(links.union(rest))
+    rest = tiled(open_groups().select("hub", "id", "comp"), grouped.select("id", "n_shingles", "sig"), full, percent)
+    found = connected(links.union(rest.mapInPandas(_tiles(limit, distance_limit(percent / 100, SKETCH, 4), percent), "a long, b long")))
     of_set = common.cut(reps.select("id", "fp", "least").join(found, "id", "left").select("fp", "least", F.coalesce("comp", "id").alias("comp")))
     whole = of_set.join(of_set.groupBy("comp").agg(F.min("least").alias("component")), "comp")
     some = lambda c: F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c)
