@@ -1,20 +1,22 @@
-"""Language-model scoring by a probabilistic suffix tree.
-
-Symbols are the bytes of a word and its end; the begin of a word is a context symbol. Contexts of up to
-DEPTH bytes hold next-symbol counts over all training words. A context is retained if it carries at least
-the share P_MIN of all symbols (so at most 1 / P_MIN contexts of a length exist, which bounds the model) and
-its divergence from its longest retained suffix, n * KL, is over GAIN nats. Each state's distribution is
-smoothed with its suffix state's (Witten-Bell), the root's with the uniform one; a symbol is scored by the
-longest retained suffix. As for the base score, a token is one of the V known words or the unknown word. A
-known word has (c(w) + V * P(w)) / (N + V), P being the tree's probability; the unknown word has
-V * (1 - M) / (N + V), M being the tree's probability of all known words together. These sum to one.
-
-Tokens are the contract's words and one end per text, the empty word of the tree. Null texts are empty.
-Rows without doc_id are scored but never trained on; repeated rows count as often as they come.
-
-Texts are turned into chunks of token numbers once. Each chunk asks for its distinct words, bucketed by
-word hash; buckets answer counts and word probabilities, so a word of a third of all tokens costs one row a
-chunk. Nothing that grows with the corpus reaches the driver or is broadcast.
+"""Language-model scoring by a probabilistic suffix tree over tokens.
+
+Symbols are the contract's tokens: the words of a text, then one end. States are contexts, the last 0 to DEPTH
+tokens. The root gives a known word (1 - u) * c / N and the unknown word u = (n1 + 0.5) / (N + 1), n1 being the
+words seen once (Good and Turing). A context seen n >= EVIDENCE times is retained if it diverges from its longest
+retained suffix: the leave-one-out log likelihood of what follows it, sum of c * ln(((c - 1) / P + KAPPA) /
+(n - 1 + KAPPA)), must exceed GAIN nats, P being the suffix's probability. So contexts are kept by evidence and
+divergence alone, and their number grows with the corpus. A retained state has (c + KAPPA * P) / (n + KAPPA); a
+token is scored by the longest retained suffix of the tokens before it. Every state's probabilities sum to one.
+Contexts seen SPLIT times or more are retained without the test, as their counts lie in several buckets.
+
+Null texts are empty. Rows without doc_id are scored but never trained on; repeated rows count as often as they come.
+
+Texts are turned into chunks of token numbers once, dealt by chunk. For each order a chunk asks for its distinct
+n-grams, bucketed by context; buckets answer with counts over all training text and with what is retained, so a
+context of a third of all tokens costs each chunk its distinct continuations only, and those are dealt over
+sub-buckets by what follows. The next order asks only below contexts with evidence. Nothing that grows with the
+corpus reaches the driver or is broadcast. A worker holds one chunk or one bucket; a chunk ends with the text that
+passes CHUNK_CHARS. Words are told apart by 64-bit hashes, continuations of a context by 32 bits.
 """
 
 from __future__ import annotations
@@ -28,14 +30,29 @@ from pyspark.sql import functions as F
 
 from . import common
 
-DEPTH, P_MIN, GAIN = 3, 1e-5, 12.0
-END, BEGIN = 256, 0x20
-CHUNK_CHARS = 4_000_000
+DEPTH, EVIDENCE, GAIN, KAPPA = 2, 4, 4.0, 16.0
+SPLIT = 200_000
+CHUNK_CHARS = 6_000_000
 _END_HASH = np.uint64(0x51ED270B7F4A7C15)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Steps a nat of the suffix's log probability, as buckets see it for the test.
+_FINE = 2048.0
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    """Counts in the fewest bytes that hold the largest, compressed."""
+    values = np.asarray(values)
+    most = int(values.max()) if len(values) else 0
+    kind = next(k for k in (1, 2, 4, 8) if most < 256**k)
+    return bytes([kind]) + zlib.compress(values.astype(f"<u{kind}").tobytes(), 1)
+
+
+def unsqueezed(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(blob[1:]), f"<u{blob[0]}").astype(np.int64)
 
 
 def _chunked(buckets: int):
-    """Rows of kind 0: a chunk's documents and token numbers; of kind 1: its distinct words of a bucket."""
+    """One row a chunk: ids, tokens and training marks of its documents, token numbers, and its distinct words by bucket."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -45,26 +62,19 @@ def _chunked(buckets: int):
         def out(ids, texts, train):
             nonlocal count
             with np.errstate(over="ignore"):
-                data, starts, ends, h, bounds = common.words(texts)
+                _, _, _, h, bounds = common.words(texts)
             n = np.diff(bounds) + 1
             h = np.insert(h, bounds[1:], _END_HASH)
-            starts, ends = np.insert(starts, bounds[1:], 0), np.insert(ends, bounds[1:], 0)
-            word, first, number = np.unique(h, return_index=True, return_inverse=True)
-            bucket = (word % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            word, number = np.unique(h, return_inverse=True)
+            order = np.argsort(word % np.uint64(buckets), kind="stable")
             place = np.empty(len(word), np.int64)
             place[order] = np.arange(len(word))
-            tf = np.bincount(number, weights=np.repeat(train, n), minlength=len(word)).astype("<u4")
-            chunk = base + count
+            number = place[number]
+            tf = np.bincount(number, weights=np.repeat(train, n), minlength=len(word))
             count += 1
-            rows = [(chunk, -1, np.array([-1 if i is None or i != i else i for i in ids], "<i8").tobytes(), n.astype("<i8").tobytes(), place[number].astype("<u4").tobytes())]
-            raw = data.tobytes()
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in range(buckets):
-                pick = order[edges[b] : edges[b + 1]]
-                if len(pick):
-                    rows.append((chunk, b, word[pick].tobytes(), tf[pick].tobytes(), zlib.compress(b" ".join([raw[starts[i] : ends[i]] for i in first[pick]]), 1)))
-            return pd.DataFrame(rows, columns=["chunk", "bucket", "a", "b", "c"])
+            known = np.array([i is not None and i == i for i in ids])
+            return pd.DataFrame({"chunk": [base + count - 1], "ids": [np.array([i if k else 0 for i, k in zip(ids, known)], "<i8").tobytes()], "known": [known.astype("u1").tobytes()],
+                                 "train": [np.asarray(train, "u1").tobytes()], "n": [n.astype("<i8").tobytes()], "tokens": [squeezed(number)], "words": [word[order].tobytes()], "tf": [squeezed(tf)]})
 
         held, size = ([], [], []), 0
         for batch in batches:
@@ -81,176 +91,196 @@ def _chunked(buckets: int):
     return run
 
 
-def _merged(group: pd.DataFrame):
-    """Distinct hashes of a bucket, their training counts, their words."""
-    hashes = [np.frombuffer(x, "<u8") for x in group["a"]]
-    all_h = np.concatenate(hashes)
-    word, first, number = np.unique(all_h, return_index=True, return_inverse=True)
-    counts = np.bincount(number, weights=np.concatenate([np.frombuffer(x, "<u4") for x in group["b"]]), minlength=len(word)).astype(np.int64)
-    names = [w for x in group["c"] for w in zlib.decompress(x).split(b" ")]
-    return hashes, word, counts, [names[i] for i in first]
-
-
-def _steps(names: list[bytes]):
-    """Per symbol of the words: word number, symbol, and the three bytes before it (0 where none)."""
-    size = np.array([len(w) for w in names], dtype=np.int64)
-    flat = np.frombuffer(b"\0\0 " + b"\1\0\0 ".join(names) + b"\1", dtype=np.uint8).astype(np.int64)
-    start = 3 + np.concatenate(([0], np.cumsum(size + 4)[:-1]))
-    owner = np.repeat(np.arange(len(names)), size + 1)
-    at = start[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(size + 1) - size - 1, size + 1)
-    sym = np.where(at == start[owner] + size[owner], END, flat[at])
-    return owner, sym, (flat[at - 1], flat[at - 2], flat[at - 3])
-
-
-def _contexts(before, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(context numbers of this depth, where there is one): the first byte before counts least."""
-    code, ok = np.zeros_like(before[0]), np.ones(len(before[0]), dtype=bool)
-    for d in range(depth):
-        code = code | before[d] << 8 * d
-        ok &= before[d] > 0
-    return code | depth << 24, ok
-
-
-def _grams(batches):
-    """Context-symbol counts of a task's buckets, words weighted by their training counts."""
-    held_k, held_c, tokens, types = [], [], 0, 0
-    for batch in batches:
-        for h, c, names in zip(batch["a"], batch["b"], batch["c"]):
-            counts = np.frombuffer(c, "<i8")
-            names = zlib.decompress(names).split(b" ")
-            seen = np.flatnonzero(counts)
-            tokens, types = tokens + int(counts.sum()), types + len(seen)
-            if len(seen):
-                owner, sym, before = _steps([names[i] for i in seen])
-                weight = counts[seen][owner]
-                for d in range(DEPTH + 1):
-                    code, ok = _contexts(before, d)
-                    k, inv = np.unique(code[ok] << 9 | sym[ok], return_inverse=True)
-                    held_k.append(k)
-                    held_c.append(np.bincount(inv, weights=weight[ok], minlength=len(k)))
-        if sum(map(len, held_k)) > 2_000_000:
-            held_k, held_c = _summed(held_k, held_c)
-    held_k, held_c = _summed(held_k, held_c)
-    yield pd.DataFrame({"k": [-1, -2], "n": [tokens, types]})
-    if held_k:
-        yield pd.DataFrame({"k": held_k[0], "n": held_c[0].astype(np.int64)})
-
-
-def _summed(keys, counts):
-    if not keys:
-        return [], []
-    k, inv = np.unique(np.concatenate(keys), return_inverse=True)
-    return [k], [np.bincount(inv, weights=np.concatenate(counts), minlength=len(k))]
-
-
-class Tree:
-    """Retained contexts with their counts; arrays sorted by key."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.counts = keys[order], counts[order].astype(float)
-        ctx, first = np.unique(self.keys >> 9, return_index=True)
-        self.ctx, total = ctx, np.add.reduceat(self.counts, first) if len(first) else np.zeros(0)
-        self.total, self.types = total, np.diff(np.append(first, len(self.keys))).astype(float)
-        self.kept = np.ones(len(ctx), dtype=bool)
-        self.kept = np.array(ctx >> 24 == 0)
-        for d in range(1, DEPTH + 1):  # from the root down: divergence from the longest retained suffix
-            rows = np.flatnonzero(self.keys >> 33 == d)
-            if not len(rows):
-                continue
-            code, sym = self.keys[rows] >> 9, self.keys[rows] & 511
-            before = [(code >> 8 * i) & 255 for i in range(3)]
-            parent = self.probability(sym, before, d - 1)
-            own = np.searchsorted(ctx, code)
-            p = self.counts[rows] / total[own]
-            gain = np.bincount(own, weights=self.counts[rows] * np.log(p / parent), minlength=len(ctx))
-            self.kept |= (ctx >> 24 == d) & (gain > GAIN)
-
-    def probability(self, sym, before, depth: int = DEPTH) -> np.ndarray:
-        """P(symbol | longest retained suffix of the bytes before), smoothed along its suffix states."""
-        p = np.full(len(sym), 1 / 257)
-        for d in range(depth + 1):
-            code, ok = _contexts(before, d)
-            if not len(self.ctx):
-                break
-            at = np.minimum(np.searchsorted(self.ctx, code), len(self.ctx) - 1)
-            ok = ok & (self.ctx[at] == code) & self.kept[at]
-            rows = np.flatnonzero(ok)
-            at, key = at[rows], code[rows] << 9 | sym[rows]
-            i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            n = np.where(self.keys[i] == key, self.counts[i], 0.0)
-            p[rows] = (n + self.types[at] * p[rows]) / (self.total[at] + self.types[at])
-        return p
-
-    def words(self, names: list[bytes]) -> np.ndarray:
-        """ln P of each word."""
-        owner, sym, before = _steps(names)
-        return np.bincount(owner, weights=np.log(self.probability(sym, before)), minlength=len(names))
-
-
-def _answers(tree_of, tokens: int):
+CHUNK = "chunk long, ids binary, known binary, train binary, n binary, tokens binary, words binary, tf binary"
+ASK = "chunk long, bucket int, ctx binary, runs binary, following binary, tf binary, p binary"
+ANSWER = "chunk long, step int, bucket int, counts binary, kept binary, types long, ones long, total long"
+
+
+def _asked_words(buckets: int):
+    def run(batches):
+        for batch in batches:
+            for chunk, words, tf in zip(batch["chunk"], batch["words"], batch["tf"]):
+                words, tf, rows = np.frombuffer(words, "<u8"), unsqueezed(tf), []
+                edges = np.searchsorted(words % np.uint64(buckets), np.arange(buckets + 1))
+                for b in np.flatnonzero(np.diff(edges)):
+                    a, z = edges[b], edges[b + 1]
+                    rows.append((chunk, b, words[a:z].tobytes(), squeezed(tf[a:z])))
+                yield pd.DataFrame(rows, columns=["chunk", "bucket", "ctx", "tf"])
+
+    return run
+
+
+def _words_answered(key, group: pd.DataFrame) -> pd.DataFrame:
+    """Training counts of a bucket's words for every chunk; its distinct training words, those seen once and all tokens on the first row."""
+    hashes = [np.frombuffer(x, "<u8") for x in group["ctx"]]
+    word, number = np.unique(np.concatenate(hashes), return_inverse=True)
+    counts = np.bincount(number, weights=np.concatenate([unsqueezed(x) for x in group["tf"]]), minlength=len(word)).astype(np.int64)
+    rows, at = [], 0
+    for chunk, h in zip(group["chunk"], hashes):
+        first = at == 0
+        rows.append((chunk, 0, key[0], squeezed(counts[number[at : at + len(h)]]), b"", *((int((counts > 0).sum()), int((counts == 1).sum()), int(counts.sum())) if first else (0, 0, 0))))
+        at += len(h)
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in ANSWER.split(", ")])
+
+
+def _ngrams_answered(step: int):
     def run(key, group: pd.DataFrame) -> pd.DataFrame:
-        hashes, word, counts, names = _merged(group)
-        tree, p = tree_of.value, np.empty(len(names), "<f4")
-        for a in range(0, len(names), 50_000):
-            p[a : a + 50_000] = tree.words(names[a : a + 50_000])
+        """Training counts of a bucket's n-grams and whether their contexts diverge, for every chunk."""
+        ctxs = [np.frombuffer(x, "<u8") for x in group["ctx"]]
+        runs = [unsqueezed(x) for x in group["runs"]]
+        ctx, of = np.unique(np.concatenate(ctxs), return_inverse=True)
+        pair = np.repeat(of, np.concatenate(runs)) << 32 | np.concatenate([np.frombuffer(x, "<u4") for x in group["following"]]).astype(np.int64)
+        pair, first, number = np.unique(pair, return_index=True, return_inverse=True)
+        c = np.bincount(number, weights=np.concatenate([unsqueezed(x) for x in group["tf"]]), minlength=len(pair))
+        p = np.exp(-np.concatenate([unsqueezed(x) for x in group["p"]])[first] / _FINE)
+        own = pair >> 32
+        kept = diverges(c, p, own, len(ctx))
+        rows, at, of_at = [], 0, 0
+        for chunk, x, r in zip(group["chunk"], ctxs, runs):
+            n = int(r.sum())
+            rows.append((chunk, step, key[0], squeezed(c[number[at : at + n]]), np.packbits(kept[of[of_at : of_at + len(x)]]).tobytes(), 0, 0, 0))
+            at, of_at = at + n, of_at + len(x)
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in ANSWER.split(", ")])
+
+    return run
+
+
+def diverges(c: np.ndarray, p: np.ndarray, own: np.ndarray, contexts: int) -> np.ndarray:
+    """Whether each context's leave-one-out log likelihood gains more than GAIN over its suffix; c, p: counts and the suffix's probabilities of its continuations."""
+    n = np.bincount(own, weights=c, minlength=contexts)
+    seen = c > 0
+    gain = c[seen] * np.log(((c[seen] - 1) / p[seen] + KAPPA) / (n[own[seen]] - 1 + KAPPA))
+    return (n >= EVIDENCE) & (np.bincount(own[seen], weights=gain, minlength=contexts) > GAIN)
+
+
+class Chunk:
+    """A chunk's tokens and what the buckets have answered so far, order by order."""
+
+    def __init__(self, row, buckets: int, tokens: int, ones: int, split: int):
+        self.buckets, self.ids, self.n = buckets, np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["n"], "<i8")
+        self.known = np.frombuffer(row["known"], "u1").astype(bool)
+        self.words, self.number = np.frombuffer(row["words"], "<u8"), unsqueezed(row["tokens"])
+        self.weight = np.repeat(np.frombuffer(row["train"], "u1"), self.n)
+        self.tokens, self.ones, self.split = tokens, ones, split
+        self.back = np.arange(len(self.number)) - np.repeat(np.cumsum(self.n) - self.n, self.n)  # tokens before it in its text
+
+    def root(self, answers: pd.DataFrame) -> None:
+        self.counts = np.concatenate([unsqueezed(x) for x in answers["counts"]])
+        new = (self.ones + 0.5) / (self.tokens + 1) if self.tokens else 1.0
+        self.p = np.where(self.counts > 0, (1 - new) * self.counts / max(self.tokens, 1), new)[self.number]
+        # the context before each position: its number, by number its hash, and by number its training count
+        self.ctx, self.hash, self.evidence = np.concatenate(([0], self.number[:-1])), self.words, self.counts
+
+    def ask(self, step: int) -> None:
+        """The distinct n-grams of this order below contexts with evidence, in the order of buckets, contexts and 32 bits of what follows."""
+        with np.errstate(over="ignore"):
+            live = np.flatnonzero((self.back >= step) & (self.evidence[self.ctx] >= EVIDENCE))
+            pair, self.first, inv = np.unique(self.ctx[live] * np.int64(len(self.words)) + self.number[live], return_index=True, return_inverse=True)
+            ctx, follows = pair // len(self.words), self.words[pair % len(self.words)]
+            n = self.evidence[ctx]
+            share = (follows >> np.uint64(40)) % (1 + n // self.split).astype(np.uint64)
+            key = np.where(n >= self.split, common.mix(self.hash[ctx] + share * _STEP), self.hash[ctx])
+            bucket = (common.mix(key + np.uint64(step)) % np.uint64(self.buckets)).astype(np.int64)
+            low = (follows & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            order = np.lexsort((low, key, bucket))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.live, self.inv, self.first = live, place[inv], live[self.first[order]]
+        self.key, self.bucket, self.low, self.n_ctx, self.follows = key[order], bucket[order], low[order], n[order], follows[order]
+        self.starts = np.flatnonzero(np.concatenate(([True], (self.key[1:] != self.key[:-1]) | (self.bucket[1:] != self.bucket[:-1])))) if len(order) else np.zeros(0, np.int64)
+
+    def rows(self, chunk: int) -> pd.DataFrame:
+        tf = np.bincount(self.inv, weights=self.weight[self.live], minlength=len(self.key))
+        p = np.clip(np.round(-np.log(self.p[self.first]) * _FINE), 0, 65535)
+        runs = np.diff(np.append(self.starts, len(self.key)))
+        at, from_ctx = np.searchsorted(self.bucket, np.arange(self.buckets + 1)), np.searchsorted(self.bucket[self.starts], np.arange(self.buckets + 1))
         rows = []
-        for chunk, h in zip(group["chunk"], hashes):
-            at = np.searchsorted(word, h)
-            rows.append((chunk, key[0], counts[at].astype("<u8").tobytes() if tokens >= 2**32 else counts[at].astype("<u4").tobytes(), p[at].tobytes(), 0.0 if rows else float(np.exp(p[counts > 0].astype(float)).sum())))
-        return pd.DataFrame(rows, columns=["chunk", "bucket", "a", "b", "mass"])
+        for b in np.flatnonzero(np.diff(at)):
+            g, c = slice(at[b], at[b + 1]), slice(from_ctx[b], from_ctx[b + 1])
+            rows.append((chunk, b, self.key[self.starts[c]].tobytes(), squeezed(runs[c]), self.low[g].astype("<u4").tobytes(), squeezed(tf[g]), squeezed(p[g])))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in ASK.split(", ")])
+
+    def answered(self, answers: pd.DataFrame) -> None:
+        """Takes the counts of the n-grams asked for, moves to the longest retained suffix, and makes these n-grams the next contexts."""
+        if not len(self.key):
+            c, kept = np.zeros(0, np.int64), np.zeros(0, bool)
+        else:
+            c = np.concatenate([unsqueezed(x) for x in answers["counts"]])
+            sizes = np.diff(np.searchsorted(self.bucket[self.starts], np.arange(self.buckets + 1)))
+            kept = np.concatenate([np.unpackbits(np.frombuffer(x, "u1"), count=m) for x, m in zip(answers["kept"], sizes[sizes > 0])]).astype(bool)
+            kept = np.repeat(kept, np.diff(np.append(self.starts, len(self.key)))) | (self.n_ctx >= self.split)
+        own = self.inv[kept[self.inv]] if len(kept) else self.inv
+        at = self.live[kept[self.inv]] if len(kept) else self.live
+        self.p[at] = (c[own] + KAPPA * self.p[at]) / (self.n_ctx[own] + KAPPA)
+        with np.errstate(over="ignore"):
+            self.hash = common.mix(self.key * _STEP + self.follows)
+        self.evidence = np.append(c, 0)  # the last number: no such context
+        gram = np.full(len(self.number), len(c))
+        gram[self.live] = self.inv
+        self.hash = np.append(self.hash, np.uint64(0))
+        self.ctx = np.concatenate(([len(c)], gram[:-1]))
+
+    def scores(self) -> pd.DataFrame:
+        at = np.cumsum(self.n) - self.n
+        base = np.log10((self.counts + 1) / (self.tokens + self.types + 1))[self.number]
+        sums = [np.add.reduceat(x, at) for x in ((self.counts > 0).astype(np.int64)[self.number], base, np.log10(self.p))]
+        ids = pd.array(self.ids.copy(), dtype="Int64")
+        ids[~self.known] = pd.NA
+        return pd.DataFrame({"doc_id": ids, "n_tokens": self.n, "n_known": sums[0], "base_score": sums[1], "score": sums[2]})
+
+
+def _state(row: pd.DataFrame, answers: pd.DataFrame, buckets: int, said: dict, upto: int) -> Chunk:
+    state = Chunk(row.iloc[0], buckets, said["tokens"], said["ones"], said["split"])
+    state.types = said["types"]
+    told = {s: a.sort_values("bucket") for s, a in answers.groupby("step")}
+    state.root(told[0])
+    for step in range(1, upto + 1):
+        state.ask(step)
+        if step < upto or upto > DEPTH:
+            state.answered(told.get(step))
+            if step == DEPTH:
+                break
+    return state
+
+
+def _asking(step: int, buckets: int, said: dict):
+    def run(key, row: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        return _state(row, answers, buckets, said, step).rows(key[0])
 
     return run
 
 
-def _scored(tokens: int, types: int, mass: float):
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        parts = right.sort_values("bucket")
-        kind = "<u8" if tokens >= 2**32 else "<u4"
-        c = np.concatenate([np.frombuffer(x, kind) for x in parts["a"]]).astype(float)
-        p = np.exp(np.concatenate([np.frombuffer(x, "<f4") for x in parts["b"]]).astype(float))
-        base = np.log10((c + 1) / (tokens + types + 1))
-        model = np.log10(np.where(c > 0, c + max(types, 1) * p, max(types, 1) * max(1 - mass, 1e-12)) / (tokens + max(types, 1)))
-        ids, n, number = (np.frombuffer(left[x].iloc[0], t) for x, t in (("a", "<i8"), ("b", "<i8"), ("c", "<u4")))
-        at = np.cumsum(n) - n
-        sums = [np.add.reduceat(x[number], at) for x in (base, model, (c > 0).astype(np.int64))]
-        return pd.DataFrame({"doc_id": pd.array(np.where(ids == -1, 0, ids), dtype="Int64").copy() if not (ids == -1).any() else pd.Series([None if i == -1 else int(i) for i in ids], dtype="Int64"),
-                             "n_tokens": n, "n_known": sums[2], "base_score": sums[0], "score": sums[1]})
+def _scored(buckets: int, said: dict):
+    def run(key, row: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        return _state(row, answers, buckets, said, DEPTH + 1).scores()
 
     return run
 
 
-def score(docs: DataFrame, train: F.Column) -> DataFrame:
+def score(docs: DataFrame, train: F.Column, split: int = SPLIT) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row of docs (doc_id, text); train marks rows to learn from."""
     spark = docs.sparkSession
     common.text_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = common.fresh_path(spark, "tokens")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     flagged = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"))
-    flagged.mapInPandas(_chunked(4 * parts), "chunk long, bucket int, a binary, b binary, c binary").write.parquet(path)
-    rows = spark.read.parquet(path)
-    asked = rows.where("bucket >= 0")
-
-    def merge(key, group):
-        _, word, counts, names = _merged(group)
-        return pd.DataFrame({"a": [word.tobytes()], "b": [counts.astype("<i8").tobytes()], "c": [zlib.compress(b" ".join(names), 1)]})
-
-    grams = asked.groupBy("bucket").applyInPandas(merge, "a binary, b binary, c binary").mapInPandas(_grams, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    grams = common.cut(grams)
-    said = {r["k"]: r["n"] for r in grams.where("k < 0").collect()}
-    tokens, types = int(said.get(-1, 0)), int(said.get(-2, 0))
-    grams = grams.where("k >= 0").withColumn("ctx", F.shiftright("k", 9))
-    root = grams.where("ctx = 0").agg(F.sum("n")).first()[0] or 0
-    heavy = grams.groupBy("ctx").agg(F.sum("n").alias("t")).where(F.col("t") >= P_MIN * root).select("ctx")
-    kept = grams.join(heavy, "ctx").select("k", "n").toPandas()  # at most DEPTH / P_MIN contexts
-    tree = spark.sparkContext.broadcast(Tree(kept["k"].to_numpy(np.int64), kept["n"].to_numpy(np.int64)))
-    path = common.fresh_path(spark, "answers")
-    asked.groupBy("bucket").applyInPandas(_answers(tree, tokens), "chunk long, bucket int, a binary, b binary, mass double").write.parquet(path)
-    answers = spark.read.parquet(path)
-    mass = answers.agg(F.sum("mass")).first()[0] or 0.0
-    own = rows.where("bucket < 0").select("chunk", "a", "b", "c")
-    out = own.groupBy("chunk").cogroup(answers.drop("mass").groupBy("chunk")).applyInPandas(_scored(tokens, types, mass), "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    return out.withColumn("train_tokens", F.lit(tokens).cast("long"))
+    # dealt by chunk once; the checkpoint keeps that, so only answers move to the chunks afterwards
+    chunks = common.cut(flagged.mapInPandas(_chunked(buckets), CHUNK).repartition(buckets, "chunk"))
+    schema = [c.split()[0] for c in ANSWER.split(", ")]
+
+    def written(answers: DataFrame) -> DataFrame:
+        path = common.fresh_path(spark, "answers")
+        answers.write.parquet(path)
+        return spark.read.schema(ANSWER).parquet(path).select(*schema)
+
+    asked = chunks.select("chunk", "words", "tf").mapInPandas(_asked_words(buckets), "chunk long, bucket int, ctx binary, tf binary")
+    answers = written(asked.groupBy("bucket").applyInPandas(_words_answered, ANSWER))
+    sums = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("types", "ones", "total")]).first()
+    said = {"types": int(sums["types"]), "ones": int(sums["ones"]), "tokens": int(sums["total"]), "split": split}
+    met = lambda f, schema: chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(f, schema)
+    for step in range(1, DEPTH + 1):
+        answers = answers.unionByName(written(met(_asking(step, buckets, said), ASK).groupBy("bucket").applyInPandas(_ngrams_answered(step), ANSWER)))
+    out = met(_scored(buckets, said), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return out.withColumn("train_tokens", F.lit(said["tokens"]).cast("long"))
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

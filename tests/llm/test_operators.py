@@ -35,35 +35,80 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_suffix_tree(spark, docs, empty):
+def brute_force_tree(words: dict, train: list, split: int = 1 << 40):
+    """(scores, contexts retained by length) of texts given as token lists: every count in a dictionary."""
+    from curvespark.llm import suffix_tree as st
+
+    counts = [Counter() for _ in range(st.DEPTH + 1)]
+    for i in train:
+        for at in range(len(words[i])):
+            for d in range(min(at, st.DEPTH) + 1):
+                counts[d][tuple(words[i][at - d : at + 1])] += 1
+    n, new = sum(counts[0].values()), (sum(c == 1 for c in counts[0].values()) + 0.5) / (sum(counts[0].values()) + 1)
+    states = [{} for _ in range(st.DEPTH + 1)]
+    follow = [{} for _ in range(st.DEPTH + 1)]
+    for d in range(1, st.DEPTH + 1):
+        for gram, c in counts[d].items():
+            follow[d].setdefault(gram[:-1], {})[gram[-1]] = c
+
+    def p(context, w):
+        if not context:
+            return (1 - new) * counts[0][w,] / n if counts[0][w,] else new
+        below = p(context[1:], w)
+        if context not in states[len(context)]:
+            return below
+        return (follow[len(context)][context].get(w, 0) + st.KAPPA * below) / (states[len(context)][context] + st.KAPPA)
+
+    for d in range(1, st.DEPTH + 1):
+        for context, after in follow[d].items():
+            m = sum(after.values())
+            gain = sum(c * math.log(((c - 1) / p(context[1:], w) + st.KAPPA) / (m - 1 + st.KAPPA)) for w, c in after.items())
+            if m >= split or m >= st.EVIDENCE and gain > st.GAIN:
+                states[d][context] = m
+    return {i: sum(math.log10(p(tuple(ws[max(0, at - st.DEPTH) : at]), w)) for at, w in enumerate(ws)) for i, ws in words.items()}, [len(s) for s in states]
+
+
+@pytest.mark.parametrize("split", [1 << 40, 50])
+def test_suffix_tree(spark, empty, split):
     from pyspark.sql import functions as F
 
     from curvespark.llm import common, suffix_tree
 
+    rng = random.Random(12)
+    passage = " ".join(rng.choices(["alpha", "beta", "gamma", "delta", "omega", "pi"], k=30))
+    said = [x if x is None or i % 5 else f"{passage} {x}" for i, x in enumerate(texts())] + ["the end of the line " * 20, passage, passage.upper(), passage]
+    docs = spark.createDataFrame([(i, x, "x", None, None, 0.0, "k") for i, x in enumerate(said)] + [(None, "no id at all", None, None, None, None, None), (0, said[0], None, None, None, None, None)], SCHEMA)
     held = common.crc_mod("doc_id", 7) == 2
-    got = {r["doc_id"]: r for r in suffix_tree.score(docs, ~held).collect()}
-    words = {i: WORD.findall((t or "").translate(LOW)) + ["<end>"] for i, t in enumerate(texts())}
-    train = Counter(w for i, ws in words.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
+    rows = suffix_tree.score(docs, ~held, split=split).collect()
+    got = {r["doc_id"]: r for r in rows}
+    words = {i: WORD.findall((t or "").translate(LOW)) + ["<end>"] for i, t in enumerate(said)}
+    learned = [i for i in words if zlib.crc32(str(i).encode()) % 7 != 2]
+    learned += [0] * (0 in learned)  # the repeated row counts twice
+    train = Counter(w for i in learned for w in words[i])
     n, v = sum(train.values()), len(train)
-    assert len(got) == len(words) + 1
+    assert len(rows) == len(words) + 2
+    want, states = brute_force_tree(words, learned, split)
+    assert states[1] >= 5 and states[2] >= 5
     for i, ws in words.items():
         assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(ws), sum(w in train for w in ws), n)
         assert math.isclose(got[i]["base_score"], sum(math.log10((train[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9)
-        assert got[i]["score"] < 0
+        assert math.isclose(got[i]["score"], want[i], rel_tol=1e-9), (i, got[i]["score"], want[i])
+    assert sum(got[i]["score"] for i in words) > sum(got[i]["base_score"] for i in words)
     assert suffix_tree.score(empty, F.lit(True)).count() == 0
+    assert all(r["score"] == r["base_score"] == 0 and r["n_known"] == 0 for r in suffix_tree.score(docs.limit(5), F.lit(False)).collect())
 
 
-def test_suffix_tree_is_a_distribution():
-    from curvespark.llm.suffix_tree import Tree, _contexts, _steps
+def test_suffix_tree_states_sum_to_one():
+    from curvespark.llm import suffix_tree as st
 
-    names = [b"abab", b"abba", b"ab", b""] * 5
-    owner, sym, before = _steps(names)
-    keys = np.concatenate([(c[ok] << 9 | sym[ok]) for c, ok in (_contexts(before, d) for d in range(4))])
-    k, n = np.unique(keys, return_counts=True)
-    tree = Tree(k, n)
-    for context in ((0x20, 0, 0), (97, 0x20, 0), (98, 97, 98)):
-        assert math.isclose(tree.probability(np.arange(257), [np.full(257, c) for c in context]).sum(), 1, rel_tol=1e-9)
-    assert tree.words([b"ab"])[0] > tree.words([b"zq"])[0]
+    words = {0: "a b a b a b c d".split() * 20, 1: "x y z a b".split()}
+    train = [0, 1]
+    scores, states = brute_force_tree(words, train)
+    known = sorted({w for ws in words.values() for w in ws})
+    for before in ([], ["a"], ["a", "b"], ["q"]):  # probabilities of all next tokens after the same beginning, the unknown word among them
+        both, _ = brute_force_tree({**words, **{i + 2: before + [w] for i, w in enumerate(known + ["never"])}, 99: before + [], }, train)
+        assert math.isclose(sum(10 ** (both[i + 2] - both[99]) for i in range(len(known) + 1)), 1, rel_tol=1e-9)
+    assert states[1] and scores[0] < 0 and st.DEPTH == 2
 
 
 def test_licences(spark, docs, empty):
@@ -72,10 +117,57 @@ def test_licences(spark, docs, empty):
     seen = licences.Recogniser()
     one = lambda t: [m[0] for m in seen.matches(t)]
     assert one("x y.\nReleased under the MIT License.\nLicensed under CC BY-NC 4.0.") == ["MIT", "CC-BY-NC-4.0"]
-    assert one("Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License. You may obtain a copy of the License at x. "
-               "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS") == ["Apache-2.0"]
-    assert one(None) == one("") == one("we never released under the mit license") == []
+    apache = ("Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in\n * compliance with the License.\n * You may obtain a copy of the License at\n *\n *   http://x.org/licenses\n *\n"
+              " * Unless required by applicable law or agreed to in writing, software\n * distributed under the License is distributed on an \"AS IS\" BASIS,\n * WITHOUT WARRANTIES")
+    assert [(m[0], m[3]) for m in seen.matches("/* Copyright X.\n * " + apache + " */")] == [("Apache-2.0", 4)]
+    assert one(None) == one("") == one("we never released under the mit license") == one("x is licensed under the mit license") == []
+    # long runs of separators before a sentence
+    assert one("x." + " " * 80 + "Licensed under the MIT License.") == one("/" + "*" * 300 + " Released under the MIT License") == one("a\n" + " " * 200 + "Released under the MIT license") == ["MIT"]
+    # a rule does not reach over many sentences; its parts then stand alone
+    bsd = ["Redistribution and use in source and binary forms, with or without modification, are permitted.", "Redistributions of source code must retain the above copyright notice.", "Redistributions in binary form must reproduce the above copyright notice.",
+           "This software is provided by the copyright holders and contributors \"as is\"."]
+    filler = lambda n: "Nothing here. " * n
+    assert one(f" {filler(8)}".join(bsd)) == ["BSD-2-Clause"] and one(f" {filler(9)}".join(bsd)) == []
+    assert [(m[2], m[4]) for m in seen.matches("One. Two!\nThree\n\nReleased under the MIT License.")] == [(3, 17)]
     assert licences.scan(docs).count() == 0 and licences.scan(empty).count() == 0
+    twice = spark.createDataFrame([(1, "Released under the MIT License.", "x")] * 2 + [(None, "Released under the MIT License.", None)], "doc_id long, text string, licence string")
+    assert sorted((r["doc_id"] or 0, r["licence"]) for r in licences.scan(twice).collect()) == [(0, "MIT"), (1, "MIT"), (1, "MIT")]
+
+
+def test_licences_like_brute_force():
+    """Every start of a sentence against every known sentence and rule, words taken one at a time."""
+    from curvespark.llm import licences
+
+    rng = random.Random(10)
+    known = licences.known_sentences()
+    rules = (*licences.RULES, *((n, (f"named:{n}",)) for n in licences.NAMES))
+    plain = ["Nothing of note", "the license is here", "licensed under", "You may obtain", "neither of them", "a b c"]
+    seen = licences.Recogniser()
+    hits = 0
+    for _ in range(300):
+        said = []  # (words, ends its sentence)
+        for _ in range(rng.randrange(1, 12)):
+            words = list(rng.choice(list(known))) if rng.random() < 0.6 else rng.choice(plain).split()
+            said.append(words + (["extra"] if rng.random() < 0.2 else []))
+        if rng.random() < 0.5:
+            said += [next(list(w) for w, n in known.items() if n == part) for part in rng.choice(rules)[1]]
+        text = "".join(" ".join(w.upper() if rng.random() < 0.2 else w for w in words) + rng.choice([". ", "; ", ".\n", "!  "]) for words in said)
+        found = []
+        for i, words in enumerate(said):
+            low = [w.lower() for w in words]
+            fits = [k for k in known if tuple(low[: len(k)]) == k]
+            if fits:
+                found.append((i, known[max(fits, key=len)]))
+        want, at = [], 0
+        while at < len(found):
+            best = max((r for r in rules if tuple(n for _, n in found[at : at + len(r[1])]) == r[1] and all(b[0] - a[0] <= licences.GAP + 1 for a, b in zip(found[at:], found[at + 1 : at + len(r[1])]))), key=lambda r: len(r[1]), default=None)
+            if best:
+                want.append((best[0], found[at][0], len(best[1])))
+            at += len(best[1]) if best else 1
+        got = [(m[0], m[2], m[3]) for m in seen.matches(text)]
+        assert got == want, text
+        hits += len(got)
+    assert hits > 200
 
 
 def test_language(spark, empty):
@@ -167,11 +259,56 @@ def test_packing_encodes_like_the_library():
 
     path = public_tokenizers.path("word_bpe_49k.json")
     t, encode = Tokenizer.from_file(path), packing.WordEncoder(path)
-    odd = ["abc\x1cdef \x1c x", "\x1d\x1e \x1f", "a\x85b\u3000c\u2003\x1fd", "J\u030c H\u0331 T\u0308 j\u030c", "E\u0301 e\u0301 \u212b", "\u03a3\u0391\u03a3 \u0130x I\u0307", "J\u030c. (J\u030c) 1J\u030c\x1c,"]
-    for x in odd + ["plain Words. " + " | ".join(odd)]:
+    odd = ["abc\x1cdef \x1c x", "\x1d\x1e \x1f", "a\x85b\u3000c\u2003\x1fd", "J\u030c H\u0331 T\u0308 j\u030c", "E\u0301 e\u0301 \u212b", "\u03a3\u0391\u03a3 \u0130x I\u0307", "J\u030c. (J\u030c) 1J\u030c\x1c,", "\u0130$ \u0130."]
+    rng = random.Random(7)
+    pools = ["abcDEF ghi.,!?;:|*$#%&'\"<>()-_0123 \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0", "".join(map(chr, range(0x20, 0x250))), "".join(map(chr, [*range(0x300, 0x370), *range(0x391, 0x3FF)])) + "\u0130\u03a3aeiou ",
+             "".join(map(chr, range(0x1E00, 0x2070))), "".join(chr(rng.randrange(0x110000)) for _ in range(3000)).encode("utf-8", "ignore").decode(), "\u6f22\u5b57 \ud55c\uad6d\U0001f600 \u00e9 e\u0301"]
+    any_of = ["".join(rng.choice(rng.choice(pools)) if rng.random() < 0.9 else rng.choice([" ", "the", "THE ", "won't ", "<|endoftext|>", "1st ", "\u0130", "\u03a3", "\u01c5"]) for _ in range(rng.randrange(1, 25))) for _ in range(20_000)]
+    for x in [*odd, "plain Words. " + " | ".join(odd), *any_of]:
         assert encode(x).tolist() == [*t.encode(x, add_special_tokens=False).ids, 1], x
 
 
+def test_packing_tiers_gaps_and_steps():
+    import pandas as pd
+    import public_tokenizers
+
+    from curvespark.llm import packing
+
+    rng = np.random.default_rng(4)
+    lengths = np.concatenate((rng.lognormal(6, 1.1, 2000).astype(int) + 1, [2048, 2049, 4096, 40_000, 1]))
+    planned, pieces = packing.plan(lengths), {}
+    for tier, seq in planned:
+        assert sum(n for _, _, n in seq) == tier and tier & (tier - 1) == 0
+        for i, start, n in seq:
+            pieces.setdefault(i, []).append((start, n))
+    for i, n in enumerate(lengths):
+        at = 0
+        for start, m in sorted(pieces[i]):
+            assert start == at and m > 0
+            at += m
+        assert at == n
+    tiers = Counter(t for t, _ in planned)
+    assert min(tiers[t] for t in (2048, 1024, 512)) > 20
+    for tier, seq in planned:  # a tier's own document comes first, shorter tiers fill its gap
+        if tier >= packing.LEAST and seq[0][2] == lengths[seq[0][0]] <= packing.WINDOW:
+            assert tier // 2 < seq[0][2] <= tier or tier == packing.LEAST
+    cut = [i for i, n in enumerate(lengths) if n <= packing.WINDOW and len(pieces[i]) > 1]
+    assert len(cut) <= 0.01 * len(lengths)
+    assert packing.plan(np.array([], int)) == [] and sum(n for t, s in packing.plan(np.array([5000])) for _, _, n in s) == 5000
+    texts = [" ".join(rng.choice(["red", "green", "blue"], int(n))) for n in lengths[:1500]]
+    import pyspark
+
+    before, pyspark.TaskContext.get = pyspark.TaskContext.get, staticmethod(lambda: type("Task", (), {"partitionId": staticmethod(lambda: 0)}))
+    try:
+        out = pd.concat(packing.packer(public_tokenizers.path("word_bpe_49k.json"))(iter([pd.DataFrame({"doc_id": range(1500), "text": texts})])))
+    finally:
+        pyspark.TaskContext.get = before
+    sizes = out.groupby(["step_group", "sequence_id"]).length.sum()
+    loads = sizes.groupby("step_group").sum()
+    assert (sizes == out.groupby(["step_group", "sequence_id"]).tier.first()).all()
+    assert len(loads) > 3 and loads.max() - loads.min() <= packing.WINDOW and sizes.nunique() > 2
+
+
 def test_bpe(spark, docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -201,6 +338,57 @@ def test_toxicity(spark, empty):
     assert toxicity.score(docs, labels.limit(0)).where("toxic").count() == 0
 
 
+def test_toxicity_chain_like_brute_force():
+    """The chain on dense matrices, a column a word: fold models, out-of-fold probabilities, the next link."""
+    from curvespark.llm import toxicity as tx
+
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choices(words, k=12) + ["poor"] * (i % 3 == 0) + ["vile"] * (i % 4 == 0)) for i in range(240)]
+    labels = np.array([[i % 3 == 0, i % 4 == 0] for i in range(240)], float)
+    names = sorted({w for t in texts for w in t.split()})
+    x = np.array([[w in t.split() for w in names] for t in texts], float)
+
+    def fitted(x, y, extra):
+        pos, neg = max(y.sum(), 1), max((1 - y).sum(), 1)
+        a, b, share = x.T @ y, x.T @ (1 - y), x.mean(axis=0)
+        keep = (a / pos - b / neg) ** 2 / np.maximum(share * (1 - share) * (1 / pos + 1 / neg), 1e-12) > tx.CHI2
+        z = np.column_stack((x[:, keep], extra, np.ones(len(x))))
+        w, g2 = np.zeros(z.shape[1]), np.full(z.shape[1], 1e-8)
+        for _ in range(80):
+            grad = z.T @ ((1 / (1 + np.exp(-np.clip(z @ w, -30, 30))) - y) * np.where(y > 0, 0.5 / pos, 0.5 / neg))
+            g2 += grad**2
+            w -= 0.5 * grad / np.sqrt(g2)
+        return lambda x, extra: 1 / (1 + np.exp(-np.clip(np.column_stack((x[:, keep], extra, np.ones(len(x)))) @ w, -30, 30)))
+
+    none, fold = np.zeros((240, 0)), np.arange(240) % tx.FOLDS
+    out = np.zeros(240)
+    for f in range(tx.FOLDS):
+        out[fold == f] = fitted(x[fold != f], labels[fold != f, 0], none[fold != f])(x[fold == f], none[fold == f])
+    first, second = fitted(x, labels[:, 0], none), fitted(x, labels[:, 1], out[:, None])
+    models = tx.train_chain(texts, labels)
+    row, col = tx.features(texts)
+    p = tx.predict(models[0], row, col, none, 240)
+    assert np.allclose(p, first(x, none), atol=1e-9)
+    assert np.allclose(tx.predict(models[1], row, col, p[:, None], 240), second(x, p[:, None]), atol=1e-9)
+    assert ((second(x, p[:, None]) >= 0.5) == (labels[:, 1] > 0)).all()
+
+
+def test_toxicity_of_repeats_long_texts_and_empty_tables(spark, empty):
+    from curvespark.llm import toxicity
+
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdef", k=4)) for _ in range(200)]
+    rows = [(i, " ".join(rng.choices(words, k=50)) + (" vilest" if i % 4 == 0 else ""), 0.5, "x") for i in range(200)]
+    long = " ".join(rng.choices(words, k=30_000))
+    rows += rows[:3] + [(5, "another text of a repeated id", 0.1, "y"), (300, long, 0.0, ""), (301, long + " vilest", 0.0, ""), (None, "vilest of them", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, p_toxic double, toxic string")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0), "k") for i in range(200)] + [(0, 1, 0, "k"), (300, 1, 0, "k")], "doc_id long, quality int, toxic int, text string")
+    got = toxicity.score(docs, labels).collect()
+    assert len(got) == len(rows) and sum(r["doc_id"] == 0 and r["toxic"] for r in got) == 2
+    assert toxicity.score(empty.select("doc_id", "text"), labels).count() == 0
+
+
 def test_quality(spark, docs, empty):
     from curvespark.llm import quality
 
@@ -256,20 +444,28 @@ def test_warc(spark, empty):
     assert warc.op9_warc(spark, path).count() == 0
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
     from curvespark.llm import topk
 
     rng = np.random.default_rng(4)
-    rows = [(i, [float(x) for x in rng.integers(-3, 4, 4) / 4]) for i in range(300)] + [(400, None), (401, [None, 1.0, 1.0, 1.0]), (402, [float("nan"), 1.0, 1.0, 1.0]), (403, [1.0]), (404, [])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = {}
-    for r in topk.top_k(df, df.where("vec_id % 50 = 0")).collect():
-        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
-    v = {i: np.floor(np.array(x) * 256).astype(int) for i, x in rows[:300]}
-    for q in range(0, 300, 50):
-        want = sorted(((-int(v[q] @ v[i]), i) for i in v if i != q))[:5]
-        assert got[q] == {k + 1: (i, -s) for k, (s, i) in enumerate(want)}
-    assert set(got) == set(range(0, 300, 50)) and topk.top_k(df.limit(0), df.limit(0)).count() == 0
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 4) / 4]) for i in range(300)]
+    rows += [(0, [1.0, 0.5, 0.5, 0.25])] * 7 + [(50, [1.0, -1.0, 0.0, 2.0]), (100, [1.0, 2.0]), (7, [3.0, 2.0]), (150, [2.0**60, 2.0**60]), (8, [2.0**55, 1.0])]  # repeated ids, other lengths, scores past 64 bits
+    odd = [(400, None), (401, [None, 1.0, 1.0, 1.0]), (402, [float("nan"), 1.0, 1.0, 1.0]), (403, [float("inf")]), (404, []), (None, [1.0, 1.0, 1.0, 1.0])]
+    df = spark.createDataFrame([(i, v, "x", 0) for i, v in rows + odd], "vec_id long, embedding array<float>, own string, cell int")
+    v = [[math.floor(np.float32(x) * 256) for x in vec] for _, vec in rows]
+    want = []
+    for q, (i, _) in enumerate(rows):
+        if i % 50 == 0:
+            held = lambda s: max(-(2**63), min(2**63 - 1, s))
+            hits = sorted((-held(sum(a * b for a, b in zip(v[q], v[c]))), j) for c, (j, _) in enumerate(rows) if c != q and len(v[c]) == len(v[q]))[:5]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(hits)]
+    asks = F.col("vec_id") % 50 == 0
+    for query_bytes in (1 << 20, 64):
+        monkeypatch.setattr(topk, "QUERY_BYTES", query_bytes)
+        assert sorted(map(tuple, topk.top_k(df.repartition(3), asks).collect())) == sorted(want)
+    assert topk.top_k(df.limit(0), asks).count() == topk.top_k(df, F.lit(None).cast("boolean")).count() == 0
 
 
 def test_pipeline(spark, tmp_path):
@@ -312,7 +508,7 @@ def test_tile_joins_components_like_brute_force():
     with np.errstate(over="ignore"):
         blobs = [row.tobytes() for row in neardup.signatures(sets)]
     ids, n = np.arange(len(sets)), len(sets)
-    got = neardup.joined(ids, ids.copy(), np.zeros(n, int), True, blobs, [neardup.packed(s) for s in sets], neardup.distance_limit(0.85), neardup.distance_limit(0.85, neardup.SKETCH, 4), 85)
+    got = neardup.joined(ids, ids.copy(), np.zeros(n, int), np.zeros(n, int), True, blobs, [neardup.packed(s) for s in sets], neardup.distance_limit(0.85), neardup.distance_limit(0.85, neardup.SKETCH, 4), 85)
 
     def comps(links):
         c = list(range(n))
