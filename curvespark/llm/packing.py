@@ -1,10 +1,13 @@
 """Hierarchical multi-length packing.
 
-Tiers are powers of two up to the window. A document's whole windows stand alone; what remains goes to the
-smallest tier that holds it. Tiers are packed from the longest: a long window takes the longest remainder,
-its gap is filled from the same and shorter tiers, the last filler being cut so that the window is full.
-What a bounded block of documents leaves at its end is cut into powers of two, so no sequence is padded.
-step_group deals the sequences of a block to steps of equal token load.
+Tiers are context sizes, powers of two from LEAST up to the window. A document that fits the window is routed to the smallest
+tier that holds it; a longer one is held in reserve. Tiers are packed from the longest, each at its own length: a
+sequence begins with the longest document left in its tier, and its gap is filled with whole documents of
+shorter tiers, one or two that fill it exactly where there are such, else the longest that fits. What is then
+missing is cut from the reserve, so that documents which fit a window stay whole; where the reserve is spent, from
+the shortest document that covers it. The rest of the reserve fills windows of its own. What a block
+leaves at its end is cut into powers of two, so no sequence is padded. step_group deals a block's sequences, longest
+first, each to the step with the least tokens, so steps of unequal sequences carry equal loads.
 
 Every task packs the documents of its own input split, block by block of block_tokens ids: no shuffle, and a
 retried task packs alike. sequence_id = split << 32 | count. Null texts are empty and have the end id only.
@@ -25,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import common
 
-WINDOW, BLOCK_TOKENS, STEP = 2048, 4_000_000, 8
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, step_group long"
+WINDOW, LEAST, BLOCK_TOKENS, STEP = 2048, 128, 4_000_000, 8
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 #: Words that an encoder keeps, twice over at most; fewer take less memory and more time.
 CACHE = 400_000
 #: Marks that form a piece of their own after a word's letters.
@@ -36,6 +39,11 @@ SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u
 ODD = re.compile("[\x1c-\x1f]")
 
 
+def letters(word: str) -> bool:
+    """Whether the tokenizer takes the word as one piece; U+0130 becomes a letter and a mark when lowered."""
+    return word.isalpha() and "\u0130" not in word
+
+
 class WordEncoder:
     """Ids of whole texts by a tokenizer whose tokens never cross white space: each distinct word is encoded once."""
 
@@ -80,7 +88,7 @@ class WordEncoder:
             if w not in known:
                 if w in older:
                     known[w] = older[w]
-                elif w.isalpha():
+                elif letters(w):
                     new.add(w)
                 else:
                     core = w.rstrip(TAIL)
@@ -88,7 +96,7 @@ class WordEncoder:
                     tail = w[len(core) :]
                     if core and tail and tail not in self.tails:
                         self.tails[tail] = self.one(tail)
-                    if core.isalpha() and core not in known:
+                    if letters(core) and core not in known:
                         new.add(core)
         if new:  # letters are one piece each, so the pieces of a joined text are the words
             words = list(new)
@@ -101,57 +109,108 @@ class WordEncoder:
             else:
                 known.update((w, self.one(w)) for w in words)
         for w, core in split:
-            known[w] = known[core] + self.tails[w[len(core) :]] if core.isalpha() and w != core else self.one(w)
+            known[w] = known[core] + self.tails[w[len(core) :]] if letters(core) and w != core else self.one(w)
         return [known[w] for w in parts]
 
     def one(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def plan(lengths: np.ndarray, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
-    """Sequences of (document, start, length) pieces for documents of these lengths."""
-    out = [[(i, s, window)] for i, n in enumerate(lengths) for s in range(0, int(n) // window * window, window)]
-    tiers: dict[int, list] = {}
-    for i, n in enumerate(lengths):
-        if rest := int(n) % window:
-            tiers.setdefault(1 << (rest - 1).bit_length(), []).append((-rest, i, int(n) - rest))
-    for queue in tiers.values():
-        heapq.heapify(queue)
-
-    def take(most: int):
-        """The longest remainder of a tier that fits; else one that is cut to fit."""
-        for tier in sorted(tiers, reverse=True):
-            if tiers[tier] and -tiers[tier][0][0] <= most:
-                neg, i, start = heapq.heappop(tiers[tier])
-                return i, start, -neg
-        small = min((t for t in tiers if tiers[t]), default=None)
-        if small is None:
-            return None
-        neg, i, start = heapq.heappop(tiers[small])
-        left = -neg - most
-        heapq.heappush(tiers.setdefault(1 << (left - 1).bit_length(), []), (-left, i, start + most))
-        return i, start, most
-
-    while any(tiers.values()):
-        seq, room = [], window
-        while room and (got := take(room)):
-            seq.append(got)
-            room -= got[2]
-        if not room:
-            out.append(seq)
-            continue
-        size = 1 << (window - room).bit_length() - 1  # the end of the block: cut into powers of two
-        while seq:
+class Pool:
+    """Whole documents by length, and the reserve: documents that are cut anyway."""
+
+    def __init__(self, lengths, window: int):
+        self.lengths, self.by_length, self.have = lengths, [[] for _ in range(window + 1)], np.zeros(window + 1, dtype=bool)
+        self.reserve, self.spare = [], 0  # (document, next start), taken from the end
+        for i, n in enumerate(lengths):
+            if n > window:
+                self.reserve.append((i, 0))
+                self.spare += int(n)
+            elif n:
+                self.by_length[n].append(i)
+                self.have[n] = True
+
+    def take(self, n: int) -> tuple[int, int, int]:
+        i = self.by_length[n].pop()
+        self.have[n] = bool(self.by_length[n])
+        return i, 0, n
+
+    def longest(self, most: int, over: int = 0) -> int:
+        """Length of the longest document of over < length <= most; 0 if none."""
+        found = np.flatnonzero(self.have[over + 1 : most + 1])
+        return over + 1 + int(found[-1]) if len(found) else 0
+
+    def pair(self, gap: int) -> int:
+        """A length whose documents fill the gap with another one's; 0 if none."""
+        both = self.have[1 : gap // 2 + 1] & self.have[gap - 1 : gap - gap // 2 - 1 : -1]
+        if gap % 2 == 0 and len(both) and len(self.by_length[gap // 2]) < 2:
+            both[-1] = False
+        found = np.flatnonzero(both)
+        return 1 + int(found[0]) if len(found) else 0
+
+    def fill(self, gap: int) -> list[tuple[int, int, int]]:
+        """Whole documents of at most gap tokens together."""
+        out = []
+        while gap:
+            if self.have[gap]:
+                return [*out, self.take(gap)]
+            if a := self.pair(gap):
+                return [*out, self.take(a), self.take(gap - a)]
+            if not (n := self.longest(gap)):
+                break
+            out.append(self.take(n))
+            gap -= n
+        return out
+
+    def cut(self, gap: int) -> list[tuple[int, int, int]]:
+        """Pieces of gap tokens together, or all there are: from the reserve, else from the shortest document that is longer."""
+        out = []
+        while gap:
+            if not self.reserve:
+                longer = np.flatnonzero(self.have[gap:])
+                n = gap + int(longer[0]) if len(longer) else self.longest(gap)
+                if not n:
+                    break
+                self.reserve.append((self.take(n)[0], 0))
+                self.spare += n
+            i, start = self.reserve.pop()
+            n = min(gap, int(self.lengths[i]) - start)
+            out.append((i, start, n))
+            gap, self.spare = gap - n, self.spare - n
+            if start + n < self.lengths[i]:
+                self.reserve.append((i, start + n))
+        return out
+
+
+def plan(lengths: np.ndarray, window: int = WINDOW, least: int = LEAST) -> list[tuple[int, list[tuple[int, int, int]]]]:
+    """(tier, pieces (document, start, length)) of every sequence, for documents of these lengths."""
+    pool, out, tier = Pool(lengths, window), [], window
+
+    def close(size: int, pieces: list) -> None:
+        """Pieces of size tokens are a sequence; fewer, at the block's end, are cut into powers of two."""
+        left = sum(p[2] for p in pieces)
+        while pieces:
+            size = min(size, 1 << left.bit_length() - 1)
             part, need = [], size
             while need:
-                i, start, n = seq.pop(0)
+                i, start, n = pieces.pop(0)
                 part.append((i, start, min(n, need)))
                 if n > need:
-                    seq.insert(0, (i, start + need, n - need))
+                    pieces.insert(0, (i, start + need, n - need))
                 need -= part[-1][2]
-            out.append(part)
-            left = sum(p[2] for p in seq)
-            size = 1 << left.bit_length() - 1 if left else 0
+            out.append((size, part))
+            left -= size
+
+    while tier:
+        over = tier // 2 if tier > least else 0
+        while n := pool.longest(tier, over):
+            pieces = [pool.take(n)]
+            pieces += pool.fill(tier - n)
+            pieces += pool.cut(tier - sum(p[2] for p in pieces))
+            close(tier, pieces)
+        tier = tier // 2 if tier > least else 0
+    while pool.spare:
+        close(window, pool.cut(window))
     return out
 
 
@@ -170,14 +229,15 @@ def packer(path: str, window: int = WINDOW, end_id: int = 1, block_tokens: int =
 
         def flush(held):
             nonlocal count
-            out, loads = [], [(0, g) for g in range(max(1, sum(len(ids) for _, ids in held) // (window * STEP)))]
-            for seq in plan(np.array([len(ids) for _, ids in held]), window):
+            planned, out = plan(np.array([len(ids) for _, ids in held]), window), []
+            loads = [(0, g) for g in range(max(1, sum(len(ids) for _, ids in held) // (window * STEP)))]
+            for tier, seq in sorted(planned, key=lambda s: -s[0]):
                 load, group = heapq.heappop(loads)
-                heapq.heappush(loads, (load + sum(p[2] for p in seq), group))
+                heapq.heappush(loads, (load + tier, group))
                 offset = 0
                 for i, start, n in seq:
                     doc, ids = held[i]
-                    out.append((doc, start, n, zlib.crc32(ids[start : start + n].tobytes()), len(ids), base + count, offset, base + group))
+                    out.append((doc, start, n, zlib.crc32(ids[start : start + n].tobytes()), len(ids), base + count, offset, tier, base + group))
                     offset += n
                 count += 1
             return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
