@@ -5,10 +5,11 @@ also takes the earlier categories' probabilities. For training those probabiliti
 models predict the documents they have not seen. Categories come from the labels table: low quality, then
 toxic. A text is toxic if the last probability is at least 0.5.
 
-The fit reads a bounded sample of labelled rows (TOXIC_ROWS and OTHER_ROWS, the smallest by hash) and keeps the
-words whose presence differs between the classes (chi-squared over CHI2); every row is scored. Null and
-empty texts have no features and are never toxic. Null labels are not trained on; of repeated labels the
-larger counts, repeated documents are scored each. Without labels nothing is toxic.
+The fit reads a bounded sample of labelled rows (TOXIC_ROWS and OTHER_ROWS, the smallest by hash, of texts of at
+most SAMPLE_CHARS characters; one text a repeated id) and keeps the words whose presence differs between the classes
+(chi-squared over CHI2); every row is scored, whole. Null and empty texts have no features and are never toxic. Null
+labels are not trained on; of repeated labels the larger counts, repeated documents are scored each. Without labels
+nothing is toxic; an empty table of documents gives no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from . import common
 BINS, FOLDS, CHI2 = 1 << 22, 5, 30.0
 #: Labelled rows that a fit reads at most: toxic and other ones.
 TOXIC_ROWS, OTHER_ROWS = 1000, 2000
+#: Characters of a text that a fit reads at most; longer texts are scored only.
+SAMPLE_CHARS = 50_000
 CATEGORIES = ("low_quality", "toxic")
 
 
@@ -39,36 +42,42 @@ def features(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return both // BINS, both % BINS
 
 
-def fit(row, col, y, extra, rounds: int = 80, l2: float = 1e-3) -> np.ndarray:
-    """Logistic weights over BINS words, extra columns and a bias; Adagrad on the whole batch, rows of a label weighted alike."""
+Model = tuple[np.ndarray, np.ndarray]
+
+
+def fit(row, col, y, extra, rounds: int = 80) -> Model:
+    """(bins kept, weights of these, of the extra columns and a bias): logistic, Adagrad on the whole batch, rows of a label weighted alike."""
     n, m = len(y), extra.shape[1]
-    a, b = np.bincount(col, weights=y[row], minlength=BINS), np.bincount(col, weights=1 - y[row], minlength=BINS)
+    bins, at = np.unique(col, return_inverse=True)
+    a, b = np.bincount(at, weights=y[row], minlength=len(bins)), np.bincount(at, weights=1 - y[row], minlength=len(bins))
     pos, neg = max(y.sum(), 1), max((1 - y).sum(), 1)
     share = (a + b) / n
     chi2 = (a / pos - b / neg) ** 2 / np.maximum(share * (1 - share) * (1 / pos + 1 / neg), 1e-12)
-    keep = (chi2 > CHI2)[col]
-    row, col = row[keep], col[keep]
-    norm = np.ones(n)
-    w, g2 = np.zeros(BINS + m + 1), np.full(BINS + m + 1, 1e-8)
-    weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+    bins, hit = bins[chi2 > CHI2], (chi2 > CHI2)[at]
+    row, col = row[hit], np.searchsorted(bins, col[hit])
+    w, g2 = np.zeros(len(bins) + m + 1), np.full(len(bins) + m + 1, 1e-8)
+    weight = np.where(y > 0, 0.5 / pos, 0.5 / neg)
     for _ in range(rounds):
-        e = (1 / (1 + np.exp(-np.clip(linear(w, row, col, extra, norm, n), -30, 30))) - y) * weight
-        grad = np.concatenate((np.bincount(col, weights=(e * norm)[row], minlength=BINS), extra.T @ e, [e.sum()])) + l2 * w / BINS
+        line = np.bincount(row, weights=w[col], minlength=n) + extra @ w[len(bins) : -1] + w[-1]
+        e = (logistic(line) - y) * weight
+        grad = np.concatenate((np.bincount(col, weights=e[row], minlength=len(bins)), extra.T @ e, [e.sum()]))
         g2 += grad**2
         w -= 0.5 * grad / np.sqrt(g2)
-    return w.astype(np.float32)
+    return bins, w
 
 
-def linear(w, row, col, extra, norm, n):
-    return np.bincount(row, weights=w[col], minlength=n) * norm + extra @ w[BINS:-1] + w[-1]
+def logistic(x):
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def predict(w, row, col, extra, n):
-    norm = np.ones(n)
-    return 1 / (1 + np.exp(-np.clip(linear(w, row, col, extra, norm, n), -30, 30)))
+def predict(model: Model, row, col, extra, n) -> np.ndarray:
+    bins, w = model
+    at = np.minimum(np.searchsorted(bins, col), max(len(bins) - 1, 0))
+    hit = bins[at] == col if len(bins) else np.zeros(len(col), dtype=bool)
+    return logistic(np.bincount(row[hit], weights=w[at[hit]], minlength=n) + extra @ w[len(bins) : -1] + w[-1])
 
 
-def train_chain(texts: list, labels: np.ndarray) -> list[np.ndarray]:
+def train_chain(texts: list, labels: np.ndarray) -> list[Model]:
     """A model per category; columns of labels in chain order."""
     row, col = features(texts)
     n = len(texts)
@@ -116,7 +125,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     # a bounded sample: the smallest hashes of the labels, half of them toxic where there are enough
     few = lambda t: marks.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TOXIC_ROWS if t else OTHER_ROWS)
-    rows = docs.select("doc_id", "text").join(F.broadcast(few(1).unionByName(few(0))), "doc_id").where("text IS NOT NULL").select("doc_id", "text", "quality", "toxic").toPandas().sort_values("doc_id")
+    rows = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(few(1).unionByName(few(0))), "doc_id")
+    one = F.min(F.struct(F.xxhash64("text"), "text")).alias("t")
+    rows = rows.groupBy("doc_id", "quality", "toxic").agg(one).select("doc_id", "t.text", "quality", "toxic").toPandas().sort_values("doc_id")
     models = train_chain(rows["text"].tolist(), np.column_stack((1 - rows["quality"], rows["toxic"]))) if len(rows) and rows["toxic"].nunique() > 1 else []
     return docs.select("doc_id", "text").mapInPandas(scorer(spark.sparkContext.broadcast(models)), "doc_id long, p_low_quality double, p_toxic double, toxic boolean")
 
