@@ -1,31 +1,39 @@
-"""Kernels on single curves and pairs of curves; NumPy only. Curves are float arrays (points, dimensions)."""
+"""Kernels on single curves and pairs of curves; NumPy only. Curves are float arrays (points, dimensions).
 
-from __future__ import annotations
+The continuous Frechet kernels are in curvespark.functions.frechet.
+"""
 
-import math
+from __future__ import annotations
 
 import numpy as np
 
+from curvespark.functions import frechet as F
+
 
 def gaps(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(((p[:, None, :] - q[None, :, :]) ** 2).sum(axis=2))
 
 
-def _diagonals(cost: np.ndarray, step) -> float:
-    """Dynamic programme over a cost matrix by anti-diagonals; step(cost, best predecessor)."""
-    n, m = cost.shape
-    before, last = {}, {0: cost[0, 0]}
+def _diagonals(p: np.ndarray, q: np.ndarray, step, limit: float = np.inf) -> tuple[float, bool]:
+    """Dynamic programme over the gaps of p and q by anti-diagonals, in memory of three of them; step(gap, best predecessor).
+
+    (value, True), or (a lower bound over limit, False): a path meets one of any two neighbouring diagonals.
+    """
+    n, m = len(p), len(q)
     lines = [np.full(n, np.inf), np.full(n, np.inf)]
-    lines[1][0] = cost[0, 0]
+    lines[1][0] = float(np.sqrt(((p[0] - q[0]) ** 2).sum()))
     for d in range(1, n + m - 1):
         i = np.arange(max(0, d - m + 1), min(n, d + 1))
         two, one = lines
         up = np.where(i > 0, one[i - 1], np.inf)
         diagonal = np.where(i > 0, two[i - 1], np.inf)
         now = np.full(n, np.inf)
-        now[i] = step(cost[i, d - i], np.minimum(np.minimum(up, one[i]), diagonal))
+        now[i] = step(np.sqrt(((p[i] - q[d - i]) ** 2).sum(axis=1)), np.minimum(np.minimum(up, one[i]), diagonal))
         lines = [one, now]
-    return float(lines[1][n - 1])
+        least = min(one.min(), now.min())
+        if least > limit:
+            return float(least), False
+    return float(lines[1][n - 1]), True
 
 
 def _diagonals_of_many(cost: np.ndarray, step) -> np.ndarray:
@@ -51,100 +59,38 @@ def to_many(q: np.ndarray, many: np.ndarray, step) -> np.ndarray:
 
 
 def discrete_frechet(p: np.ndarray, q: np.ndarray) -> float:
-    return _diagonals(gaps(p, q), np.maximum)
+    return _diagonals(p, q, np.maximum)[0]
+
+
+def frechet_within(p: np.ndarray, q: np.ndarray, limit: float) -> tuple[float, bool]:
+    """(discrete Frechet distance, True), or (a lower bound over limit, False) where the ends or the programme rule limit out."""
+    ends = max(float(np.sqrt(((p[i] - q[i]) ** 2).sum())) for i in (0, -1))
+    return (ends, False) if ends > limit else _diagonals(p, q, np.maximum, limit)
 
 
 def dtw(p: np.ndarray, q: np.ndarray) -> float:
-    return _diagonals(gaps(p, q), np.add)
-
-
-def _free(points: np.ndarray, line: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
-    """Parameters of each segment of line within eps of each point; lo > hi where there are none."""
-    start, d = line[:-1], line[1:] - line[:-1]
-    rel = start[None] - points[:, None]
-    a, b, c = (d**2).sum(axis=1)[None], (rel * d[None]).sum(axis=2), (rel**2).sum(axis=2) - eps * eps
-    disc = b * b - a * c
-    with np.errstate(divide="ignore", invalid="ignore"):
-        root = np.sqrt(np.where(disc >= 0, disc, np.nan))
-        lo, hi = np.maximum((-b - root) / a, 0), np.minimum((-b + root) / a, 1)
-    near = gaps(points, line) <= eps
-    flat = np.broadcast_to(a == 0, lo.shape)
-    lo, hi = np.where(flat, np.where(near[:, :-1], 0, 2), lo), np.where(flat, np.where(near[:, :-1], 1, -1), hi)
-    bad = ~(lo <= hi)
-    lo, hi = np.where(bad, 2.0, lo), np.where(bad, -1.0, hi)
-    # ends decided by the vertices' own distance, so that neighbouring cells agree
-    lo = np.where(near[:, :-1], 0.0, np.where(lo <= 0, np.nextafter(0, 1), lo))
-    hi = np.where(near[:, :-1], np.maximum(hi, 0.0), hi)
-    lo = np.where(near[:, 1:], np.minimum(lo, 1.0), lo)
-    return lo, np.where(near[:, 1:], 1.0, np.where(hi >= 1, np.nextafter(1, 0), hi))
-
-
-def decide(p: np.ndarray, q: np.ndarray, eps: float) -> bool:
-    """Whether the continuous Frechet distance is at most eps: reachability in the free-space diagram."""
-    if eps < 0:
-        raise ValueError("eps must not be negative")
-    if len(p) < 2 or len(q) < 2:
-        raise ValueError("a curve needs two points")
-    q, p = q - p[0], p - p[0]
-    if math.dist(p[0], q[0]) > eps or math.dist(p[-1], q[-1]) > eps:
-        return False
-    n, m = len(p), len(q)
-    left_lo, left_hi = (x.tolist() for x in _free(p, q, eps))
-    low_lo, low_hi = (np.ascontiguousarray(x.T).tolist() for x in _free(q, p, eps))
-    none = 2.0
-    # enter[j]: smallest reachable parameter on segment j of q at the current vertex of p
-    enter, ok = [], True
-    for j in range(m - 1):
-        ok = ok and left_lo[0][j] == 0
-        enter.append(0.0 if ok and left_hi[0][j] >= 0 else none)
-        ok = ok and left_hi[0][j] == 1
-    side = True
-    for i in range(n - 1):
-        first = side and low_lo[i][0] == 0
-        across = 0.0 if first else none
-        side = first and low_hi[i][0] == 1
-        nxt = []
-        for j in range(m - 1):
-            lo, hi = left_lo[i + 1][j], left_hi[i + 1][j]
-            up = lo if across < none else max(lo, enter[j])
-            nxt.append(up if up <= hi else none)
-            lo, hi = low_lo[i][j + 1], low_hi[i][j + 1]
-            across = lo if enter[j] < none else max(lo, across)
-            across = across if across <= hi else none
-        enter = nxt
-        if not side and across >= none and min(enter) >= none:
-            return False
-    return (enter[-1] <= 1 and left_hi[n - 1][m - 2] == 1) or (across <= 1 and low_hi[n - 2][m - 1] == 1)
+    return _diagonals(p, q, np.add)[0]
 
 
-def frechet(p: np.ndarray, q: np.ndarray, tol: float = 1e-6) -> float:
-    """Continuous Frechet distance from above, within tol."""
-    if decide(p, q, 0.0):
-        return 0.0
-    lo, hi = 0.0, max(math.dist(p[0], q[0]), math.dist(p[-1], q[-1]), tol)
-    while not decide(p, q, hi):
-        lo, hi = hi, 2 * hi
-    while hi - lo > tol:
-        mid = (lo + hi) / 2
-        lo, hi = (lo, mid) if decide(p, q, mid) else (mid, hi)
-    return hi
+decide, frechet_upper = F.decide, F.upper
 
 
-def frechet_upper(p: np.ndarray, q: np.ndarray, tol: float = 1e-6) -> float:
-    """An upper bound that floating-point error cannot undercut: the distance plus a margin for rounding."""
-    shift = np.abs(np.concatenate((p, q))).max()
-    span = np.abs(np.concatenate((p - p[0], q - p[0]))).max()
-    d = frechet(p, q, tol)
-    return d + 256 * np.finfo(float).eps * (shift + span + d)
+def frechet(p: np.ndarray, q: np.ndarray, tol: float = 1e-6) -> float:
+    """Continuous Frechet distance from above, within tol."""
+    return float(F.distance_many([p], [q], tol)[0])
 
 
 def point_to_line(points: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """Distance of each point to a polyline."""
+    """Distance of each point to a polyline; a bounded number of points at a time."""
+    line = np.repeat(line, 2, axis=0) if len(line) == 1 else line
     a, d = line[:-1], line[1:] - line[:-1]
-    n = (d**2).sum(axis=1)
-    rel = points[:, None] - a[None]
-    f = np.clip(np.divide((rel * d[None]).sum(axis=2), n[None], out=np.zeros(rel.shape[:2]), where=n[None] > 0), 0, 1)
-    return np.sqrt(((rel - f[..., None] * d[None]) ** 2).sum(axis=2)).min(axis=1)
+    n, rows = (d**2).sum(axis=1), max(1, F.CELLS // len(d))
+    out = np.empty(len(points))
+    for i in range(0, len(points), rows):
+        rel = points[i : i + rows, None] - a[None]
+        f = np.clip(np.divide((rel * d[None]).sum(axis=2), n[None], out=np.zeros(rel.shape[:2]), where=n[None] > 0), 0, 1)
+        out[i : i + rows] = np.sqrt(((rel - f[..., None] * d[None]) ** 2).sum(axis=2)).min(axis=1)
+    return out
 
 
 def hausdorff_bound(p: np.ndarray, q: np.ndarray) -> float:
@@ -185,18 +131,23 @@ def certify(xy: np.ndarray, kept: np.ndarray, tol: float = 1e-3) -> float:
     """A proven bound of the Frechet distance between a curve and its simplification: the largest over the pieces."""
     out = 0.0
     for a, b in zip(kept[:-1], kept[1:]):
-        if b - a > 1:
-            out = max(out, frechet_upper(xy[a : b + 1], xy[[a, b]], tol))
+        out = F.chord_upper(xy[a : b + 1], tol, out)
     return out
 
 
-def outcome(q: np.ndarray, c: np.ndarray, r: float, slack: float, bound: float) -> str:
-    """Range decision on simplified curves: accept, reject_cheap, reject_interval or refine."""
-    if bound > r + slack:
-        return "reject_cheap"
-    if r >= slack and decide(q, c, r - slack):
-        return "accept"
-    return "refine" if decide(q, c, r + slack) else "reject_interval"
+def outcomes(qs: list, cs: list, r: float, slack: np.ndarray, bound: np.ndarray) -> list[str]:
+    """Range decisions on simplified curves: accept, reject_cheap, reject_interval or refine. What is not refined is proven: yes by
+    a decision with margins at r - slack, no by one whose margins favour yes at r + slack."""
+    out = np.full(len(qs), "reject_cheap", dtype=object)
+    left = np.flatnonzero(bound <= r + slack)
+    some = lambda rows, e, margin: F.decide_many([qs[i] for i in rows], [cs[i] for i in rows], e, margin)
+    sure = left[slack[left] <= r]
+    yes = sure[some(sure, r - slack[sure], 1)]
+    out[left], out[yes] = "", "accept"
+    rest = np.setdiff1d(left, yes)
+    maybe = some(rest, r + slack[rest], -1)
+    out[rest] = np.where(maybe, "refine", "reject_interval")
+    return out.tolist()
 
 
 def hilbert_keys(points: np.ndarray, bits: int) -> list[int]:

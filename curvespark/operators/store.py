@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curvespark.functions import curves
+from curvespark.functions import curves, frechet
 from curvespark.operators import tracks as T
 from curvespark.operators import vectors as V
 from curvespark.sources.tables import cut, nested
@@ -25,46 +25,83 @@ def xy(x, y) -> np.ndarray:
 def map_rows(df: DataFrame, f, schema: str) -> DataFrame:
     """f(row) -> iterable of tuples, over Arrow batches.
 
-    Rows are small and kernels dear, so rows are dealt by their keys to all tasks, whatever their bytes come to.
+    Rows are small and kernels dear, so rows are dealt by a hash of their keys to all tasks, whatever their bytes come
+    to. A hash: dealing by the keys themselves would be dropped behind an aggregation by them, and its shuffle merged to few tasks.
     """
     names = [c.strip().split()[0] for c in schema.split(", ")]
     keys = [c for c in ("track", "q", "c", "query_id", "doc_id", "method", "tol") if c in df.columns]
-    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
     def run(batches):
         for batch in batches:
             yield pd.DataFrame([out for row in batch.itertuples(index=False) for out in f(row)], columns=names)
 
-    return df.mapInPandas(run, schema)
+    return dealt(df, keys).mapInPandas(run, schema)
+
+
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*keys))
+
+
+def map_batches(df: DataFrame, keys: list[str], f, schema: str, rows: int = 512) -> DataFrame:
+    """f(frame of at most rows rows) -> frame, dealt like map_rows."""
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, len(batch), rows):
+                yield f(batch.iloc[a : a + rows])
+
+    return dealt(df, keys).mapInPandas(run, schema)
 
 
 def simplified(points: DataFrame, tol: float, method: str = "sed") -> DataFrame:
-    """Kept vertices of each track and a certificate eps, a proven bound of the distance to the original; one-point tracks have none."""
+    return certified(nested(points), tol, method)
+
+
+def certified(tracks: DataFrame, tol: float, method: str = "sed") -> DataFrame:
+    """Kept vertices of each track and a certificate eps, a proven bound of the distance to the original; one point is its own simplification."""
 
     def one(r):
         p = xy(r.x, r.y)
-        if len(p) < 2:
-            return
-        kept = curves.simplify_sed(np.asarray(r.t), p, tol) if method == "sed" else curves.douglas_peucker(p, tol)
+        kept = np.arange(1) if len(p) == 1 else curves.simplify_sed(np.asarray(r.t), p, tol) if method == "sed" else curves.douglas_peucker(p, tol)
         yield r.track, len(p), kept.astype(int).tolist(), p[kept, 0].tolist(), p[kept, 1].tolist(), curves.certify(p, kept)
 
-    return map_rows(nested(points), one, CURVE)
+    return map_rows(tracks, one, CURVE)
 
 
-def compare(pairs: DataFrame, left: DataFrame, right: DataFrame, kernel, out: str) -> DataFrame:
-    """kernel(p, q) for pairs (q, c) of nested tracks (track, x, y), as column out (double)."""
+def curves_of(batch: pd.DataFrame, side: str) -> list[np.ndarray]:
+    return [xy(x, y) for x, y in zip(batch[f"{side}x"], batch[f"{side}y"])]
+
+
+def compare_many(pairs: DataFrame, left: DataFrame, right: DataFrame, kernel, out: str) -> DataFrame:
+    """kernel(ps, qs), a value a pair, for pairs (q, c) of nested tracks (track, x, y), as column out (double)."""
     side = lambda df, n: df.select(F.col("track").alias(n), F.col("x").alias(f"{n}x"), F.col("y").alias(f"{n}y"))
     rows = pairs.select("q", "c").join(side(left, "q"), "q").join(side(right, "c"), "c").select("q", "c", "qx", "qy", "cx", "cy")
-    return map_rows(rows, lambda r: [(r.q, r.c, float(kernel(xy(r.qx, r.qy), xy(r.cx, r.cy))))], f"q long, c long, {out} double")
+    run = lambda b: pd.DataFrame({"q": b["q"], "c": b["c"], out: np.asarray(kernel(curves_of(b, "q"), curves_of(b, "c")), float)})
+    return map_batches(rows, ["q", "c"], run, f"q long, c long, {out} double")
+
+
+def compare(pairs: DataFrame, left: DataFrame, right: DataFrame, kernel, out: str) -> DataFrame:
+    """compare_many for a kernel(p, q) of one pair."""
+    return compare_many(pairs, left, right, lambda ps, qs: [float(kernel(p, q)) for p, q in zip(ps, qs)], out)
 
 
 def certified_range(queries: DataFrame, corpus: DataFrame, r: float, tol: float) -> DataFrame:
-    """(q, c, outcome, hit) for pairs the cheap bound leaves within r: simplified curves first, the originals for 'refine' only."""
-    pairs = T.candidate_pairs(T.summary(queries), T.summary(corpus), r)
-    side = lambda p, n: simplified(p, tol).select(F.col("track").alias(n), F.col("lx").alias(f"{n}x"), F.col("ly").alias(f"{n}y"), F.col("eps").alias(f"{n}e"))
-    rows = pairs.join(side(queries, "q"), "q").join(side(corpus, "c"), "c").select("q", "c", "lb", "qx", "qy", "cx", "cy", (F.col("qe") + F.col("ce")).alias("slack"))
-    told = map_rows(rows, lambda x: [(x.q, x.c, curves.outcome(xy(x.qx, x.qy), xy(x.cx, x.cy), r, x.slack, x.lb))], "q long, c long, outcome string")
-    exact = compare(told.where("outcome = 'refine'"), nested(queries), nested(corpus), lambda p, q: curves.decide(p, q, r), "within")
+    """(q, c, outcome, hit) for pairs the cheap bound leaves within r: simplified curves first, the originals for 'refine' only.
+
+    Tracks are nested and certified once; where queries is corpus, one table serves both.
+    """
+    def made(points):
+        whole = cut(nested(points))
+        return cut(T.summary(points)), whole, cut(certified(whole, tol))
+
+    right = made(corpus)
+    left = right if queries is corpus else made(queries)
+    pairs = T.candidate_pairs(left[0], right[0], r)
+    side = lambda reps, n: reps.select(F.col("track").alias(n), F.col("lx").alias(f"{n}x"), F.col("ly").alias(f"{n}y"), F.col("eps").alias(f"{n}e"))
+    rows = pairs.join(side(left[2], "q"), "q").join(side(right[2], "c"), "c").select("q", "c", "lb", "qx", "qy", "cx", "cy", (F.col("qe") + F.col("ce")).alias("slack"))
+    tell = lambda b: pd.DataFrame({"q": b["q"], "c": b["c"], "outcome": curves.outcomes(curves_of(b, "q"), curves_of(b, "c"), r, b["slack"].to_numpy(), b["lb"].to_numpy())})
+    told = cut(map_batches(rows, ["q", "c"], tell, "q long, c long, outcome string"))
+    exact = compare_many(told.where("outcome = 'refine'"), left[1], right[1], lambda ps, qs: frechet.decide_many(ps, qs, r), "within")
     return told.join(exact, ["q", "c"], "left").select("q", "c", "outcome", ((F.col("outcome") == "accept") | F.coalesce(F.col("within") == 1, F.lit(False))).alias("hit"))
 
 

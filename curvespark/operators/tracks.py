@@ -134,10 +134,16 @@ def bounds(a: str, b: str) -> tuple[Column, Column]:
 
 
 def candidate_pairs(queries: DataFrame, corpus: DataFrame, radius: float) -> DataFrame:
-    """(q, c, lb) with the cheap bound within radius. Start points are hashed to radius-wide cells, so only neighbouring cells meet."""
-    cell = lambda v: F.floor(F.col(v) / radius).cast("long")
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    left = queries.withColumn("cx", F.explode(F.transform(near, lambda d: cell("x0") + d))).withColumn("cy", F.explode(F.transform(near, lambda d: cell("y0") + d)))
-    right = corpus.withColumn("cx", cell("x0")).withColumn("cy", cell("y0"))
-    ends, box = bounds("l", "r")
-    return left.alias("l").join(right.alias("r"), (F.col("l.cx") == F.col("r.cx")) & (F.col("l.cy") == F.col("r.cy")) & (F.col("l.track") != F.col("r.track"))).select(F.col("l.track").alias("q"), F.col("r.track").alias("c"), F.greatest(ends, box).alias("lb")).where(F.col("lb") <= radius)
+    """(q, c, lb) with the cheap bound within radius.
+
+    Both start and end points are hashed to cells two radii wide, of which a query reaches at most two a dimension. So
+    tracks that share a start meet only where their ends are near as well.
+    """
+    wide, ends = 2 * radius * (1 + 1e-9) + 1e-12, ("x0", "y0", "xn", "yn")
+    left, right = queries, corpus
+    for c in ends:
+        reach = F.array_distinct(F.array(*[F.floor((F.col(c) + d * wide / 2) / wide).cast("long") for d in (-1, 1)]))
+        left, right = left.withColumn(f"c{c}", F.explode(reach)), right.withColumn(f"c{c}", F.floor(F.col(c) / wide).cast("long"))
+    near, box = bounds("l", "r")
+    met = left.alias("l").join(right.alias("r"), [*[F.col(f"l.c{c}") == F.col(f"r.c{c}") for c in ends], F.col("l.track") != F.col("r.track")])
+    return met.select(F.col("l.track").alias("q"), F.col("r.track").alias("c"), F.greatest(near, box).alias("lb")).where(F.col("lb") <= radius)
