@@ -47,6 +47,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dealt(df: DataFrame, parts: int, column: str) -> DataFrame:
+    """cut(df) dealt by a column, in such a way that groupings by it need no further shuffle.
+
+    A checkpoint keeps how its rows are dealt only where its plan is not adaptive; with a stated number of partitions there is nothing to adapt.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    was = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return cut(df.repartition(parts, column))
+    finally:
+        conf.set(name, was)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so as the driver's garbage is collected."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc_mod(column: str, modulus: int) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 

@@ -16,7 +16,7 @@ n-grams, bucketed by context; buckets answer with counts over all training text
 context of a third of all tokens costs each chunk its distinct continuations only, and those are dealt over
 sub-buckets by what follows. The next order asks only below contexts with evidence. Nothing that grows with the
 corpus reaches the driver or is broadcast. A worker holds one chunk or one bucket; a chunk ends with the text that
-passes CHUNK_CHARS. Words are told apart by 64-bit hashes, continuations of a context by 32 bits.
+passes CHUNK_CHARS. Words are told apart by 64-bit hashes, a bucket's contexts by 40 bits, what follows one by 32.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from . import common
 
 DEPTH, EVIDENCE, GAIN, KAPPA = 2, 4, 4.0, 16.0
 SPLIT = 200_000
-CHUNK_CHARS = 6_000_000
+CHUNK_CHARS = 14_000_000
 _END_HASH = np.uint64(0x51ED270B7F4A7C15)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Steps a nat of the suffix's log probability, as buckets see it for the test.
@@ -40,19 +40,35 @@ _FINE = 2048.0
 
 
 def squeezed(values: np.ndarray) -> bytes:
-    """Counts in the fewest bytes that hold the largest, compressed."""
+    """Counts in the fewest bytes that hold the largest, their high bytes apart, compressed."""
     values = np.asarray(values)
     most = int(values.max()) if len(values) else 0
     kind = next(k for k in (1, 2, 4, 8) if most < 256**k)
-    return bytes([kind]) + zlib.compress(values.astype(f"<u{kind}").tobytes(), 1)
+    return bytes([kind]) + zlib.compress(values.astype(f"<u{kind}").view("u1").reshape(-1, kind).T.tobytes(), 1)
 
 
 def unsqueezed(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob[1:]), f"<u{blob[0]}").astype(np.int64)
+    kind = blob[0]
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(blob[1:]), "u1").reshape(kind, -1).T).view(f"<u{kind}").ravel().astype(np.int64)
 
 
-def _chunked(buckets: int):
-    """One row a chunk: ids, tokens and training marks of its documents, token numbers, and its distinct words by bucket."""
+def narrowed(keys: np.ndarray) -> bytes:
+    """The low 40 bits of context keys; a bucket tells its contexts apart by these."""
+    return keys.astype("<u8").view("u1").reshape(-1, 8)[:, :5].tobytes()
+
+
+def widened(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 5, 8), "u1")
+    out[:, :5] = np.frombuffer(blob, "u1").reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
+def by_bucket(words: np.ndarray, buckets: int) -> np.ndarray:
+    return np.lexsort((words, words % np.uint64(buckets)))
+
+
+def _chunked():
+    """One row a chunk: ids, tokens and training marks of its documents, token numbers, and its distinct words, commonest first."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -65,8 +81,8 @@ def _chunked(buckets: int):
                 _, _, _, h, bounds = common.words(texts)
             n = np.diff(bounds) + 1
             h = np.insert(h, bounds[1:], _END_HASH)
-            word, number = np.unique(h, return_inverse=True)
-            order = np.argsort(word % np.uint64(buckets), kind="stable")
+            word, number, often = np.unique(h, return_inverse=True, return_counts=True)
+            order = np.argsort(-often, kind="stable")
             place = np.empty(len(word), np.int64)
             place[order] = np.arange(len(word))
             number = place[number]
@@ -101,6 +117,8 @@ def _asked_words(buckets: int):
         for batch in batches:
             for chunk, words, tf in zip(batch["chunk"], batch["words"], batch["tf"]):
                 words, tf, rows = np.frombuffer(words, "<u8"), unsqueezed(tf), []
+                order = by_bucket(words, buckets)
+                words, tf = words[order], tf[order]
                 edges = np.searchsorted(words % np.uint64(buckets), np.arange(buckets + 1))
                 for b in np.flatnonzero(np.diff(edges)):
                     a, z = edges[b], edges[b + 1]
@@ -126,7 +144,7 @@ def _words_answered(key, group: pd.DataFrame) -> pd.DataFrame:
 def _ngrams_answered(step: int):
     def run(key, group: pd.DataFrame) -> pd.DataFrame:
         """Training counts of a bucket's n-grams and whether their contexts diverge, for every chunk."""
-        ctxs = [np.frombuffer(x, "<u8") for x in group["ctx"]]
+        ctxs = [widened(x) for x in group["ctx"]]
         runs = [unsqueezed(x) for x in group["runs"]]
         ctx, of = np.unique(np.concatenate(ctxs), return_inverse=True)
         pair = np.repeat(of, np.concatenate(runs)) << 32 | np.concatenate([np.frombuffer(x, "<u4") for x in group["following"]]).astype(np.int64)
@@ -165,7 +183,8 @@ class Chunk:
         self.back = np.arange(len(self.number)) - np.repeat(np.cumsum(self.n) - self.n, self.n)  # tokens before it in its text
 
     def root(self, answers: pd.DataFrame) -> None:
-        self.counts = np.concatenate([unsqueezed(x) for x in answers["counts"]])
+        self.counts = np.empty(len(self.words), np.int64)
+        self.counts[by_bucket(self.words, self.buckets)] = np.concatenate([unsqueezed(x) for x in answers["counts"]])
         new = (self.ones + 0.5) / (self.tokens + 1) if self.tokens else 1.0
         self.p = np.where(self.counts > 0, (1 - new) * self.counts / max(self.tokens, 1), new)[self.number]
         # the context before each position: its number, by number its hash, and by number its training count
@@ -197,7 +216,7 @@ class Chunk:
         rows = []
         for b in np.flatnonzero(np.diff(at)):
             g, c = slice(at[b], at[b + 1]), slice(from_ctx[b], from_ctx[b + 1])
-            rows.append((chunk, b, self.key[self.starts[c]].tobytes(), squeezed(runs[c]), self.low[g].astype("<u4").tobytes(), squeezed(tf[g]), squeezed(p[g])))
+            rows.append((chunk, b, narrowed(self.key[self.starts[c]]), squeezed(runs[c]), self.low[g].astype("<u4").tobytes(), squeezed(tf[g]), squeezed(p[g])))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in ASK.split(", ")])
 
     def answered(self, answers: pd.DataFrame) -> None:
@@ -263,13 +282,14 @@ def score(docs: DataFrame, train: F.Column, split: int = SPLIT) -> DataFrame:
     common.text_batches(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     flagged = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"))
-    # dealt by chunk once; the checkpoint keeps that, so only answers move to the chunks afterwards
-    chunks = common.cut(flagged.mapInPandas(_chunked(buckets), CHUNK).repartition(buckets, "chunk"))
+    # dealt by chunk once, so only answers move to the chunks afterwards
+    chunks = common.dealt(flagged.mapInPandas(_chunked(), CHUNK), buckets, "chunk")
     schema = [c.split()[0] for c in ANSWER.split(", ")]
 
     def written(answers: DataFrame) -> DataFrame:
         path = common.fresh_path(spark, "answers")
         answers.write.parquet(path)
+        common.drop_shuffles(spark)
         return spark.read.schema(ANSWER).parquet(path).select(*schema)
 
     asked = chunks.select("chunk", "words", "tf").mapInPandas(_asked_words(buckets), "chunk long, bucket int, ctx binary, tf binary")
