@@ -147,3 +147,49 @@ def candidate_pairs(queries: DataFrame, corpus: DataFrame, radius: float) -> Dat
     near, box = bounds("l", "r")
     met = left.alias("l").join(right.alias("r"), [*[F.col(f"l.c{c}") == F.col(f"r.c{c}") for c in ends], F.col("l.track") != F.col("r.track")])
     return met.select(F.col("l.track").alias("q"), F.col("r.track").alias("c"), F.greatest(near, box).alias("lb")).where(F.col("lb") <= radius)
+
+
+def inner_samples(points: DataFrame) -> DataFrame:
+    """Points but the first and last of each track, where estimates have edge effects."""
+    p = points.withColumn("_i", F.row_number().over(by_seq())).withColumn("_n", F.count("*").over(whole()))
+    return p.where((F.col("_i") > 1) & (F.col("_i") < F.col("_n"))).drop("_i", "_n")
+
+
+def load(points: DataFrame, n: int, least: int = 50, most: int = 2000, seed: int = 42) -> DataFrame:
+    """A seeded sample of n tracks of least to most points; points carry lat and lon, which are projected about the sample's centre."""
+    from curvespark.operators import vectors as V
+
+    sizes = points.groupBy("track").agg(F.count("*").alias("_n")).where(F.col("_n").between(least, most))
+    return project(points.join(V.seeded_sample(sizes.select("track"), "track", n, seed), "track", "left_semi"))
+
+
+def clean(points: DataFrame, max_dt: float, max_speed: float, inside: Column | None = None, least: int = 1, most: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """(points by track, seg, island with time from 0, one row of counters).
+
+    Tracks are cut at gaps and jumps, then at exits from the region; single points and pieces beyond the length limits go. The counters
+    are the tracks and points read, segments, segments of one point, pieces dropped by length, and what is left.
+    """
+    seg = segments(points, max_dt, max_speed)
+    sized = seg.withColumn("_n", F.count("*").over(W.partitionBy("track", "seg")))
+    runs = sized.where("_n > 1").drop("_n").withColumn("_piece", F.struct("track", "seg"))
+    if inside is None:
+        pieces = runs.withColumn("island", F.lit(0).cast("long"))
+    else:
+        w = W.partitionBy("track", "seg").orderBy("seq")
+        pieces = runs.withColumn("_in", F.coalesce(inside, F.lit(False)))
+        pieces = pieces.withColumn("_edge", F.col("_in") & ~F.coalesce(F.lag("_in").over(w), F.lit(False)))
+        pieces = pieces.withColumn("island", F.sum(F.col("_edge").cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0)) - 1).where("_in").drop("_in", "_edge")
+    keys = ("track", "seg", "island")
+    pieces = pieces.drop("_piece").withColumn("_n", F.count("*").over(W.partitionBy(*keys)))
+    kept = pieces.where(F.col("_n").between(max(least, 2), most)).withColumn("seg_t", F.col("t") - F.min("t").over(W.partitionBy(*keys))).drop("_n")
+    count = lambda df, *names: df.groupBy(*names).agg(F.count("*").alias("n"))
+    read = count(points, "track").agg(F.count("*").alias("tracks"), F.coalesce(F.sum("n"), F.lit(0)).alias("points"))
+    cut = count(seg, "track", "seg").agg(F.count("*").alias("segments"), F.count_if(F.col("n") == 1).alias("singletons"))
+    short = count(pieces, *keys).agg(F.count_if(~F.col("n").between(max(least, 2), most)).alias("length_drops"))
+    left = count(kept, *keys).agg(F.count("*").alias("pieces"), F.coalesce(F.sum("n"), F.lit(0)).alias("points_left"))
+    return kept, read.crossJoin(cut).crossJoin(short).crossJoin(left)
+
+
+def worst(errors: DataFrame, n: int = 5) -> DataFrame:
+    """The n tracks of largest error, ties to the smaller track."""
+    return errors.orderBy(F.col("error").desc(), "track").limit(n)

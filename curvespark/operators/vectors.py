@@ -95,3 +95,40 @@ def retrieval(got: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     size = relevant.groupBy("query_id").agg(F.count("*").alias("n"))
     hits = got.where(F.col("rank") <= k).join(relevant, ["query_id", "item"]).groupBy("query_id").agg(F.count("*").alias("hits"), F.min("rank").alias("first"))
     return size.join(hits, "query_id", "left").select("query_id", F.coalesce(F.col("hits") / F.col("n"), F.lit(0.0)).alias("recall"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"))
+
+
+def rerank(candidates: DataFrame, queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """The k best of candidates (query_id, item) by cosine to queries (query_id, q), with vectors (item, v); an item without a vector counts as the zero vector."""
+    rows = candidates.join(queries, "query_id").join(vectors, "item", "left")
+    score = F.when(F.col("v").isNull(), F.lit(0.0)).otherwise(cosine_batch(F.col("q"), F.coalesce("v", F.col("q"))))
+    return ranked(rows.select("query_id", "item", F.round(score, 6).alias("sim")), "query_id", "sim", "item", k)
+
+
+def key_limit(bits: int, dims: int) -> int:
+    """The largest key of a space-filling curve on a grid of 2**bits in dims dimensions."""
+    return 2 ** (bits * dims) - 1
+
+
+def valid_point(point: Column, bits: int, dims: int) -> Column:
+    """Whether an array of integers has dims coordinates of a 2**bits grid; a null array or coordinate is not valid."""
+    return F.coalesce((F.size(point) == dims) & F.forall(point, lambda v: v.between(0, 2**bits - 1) & v.isNotNull()), F.lit(False))
+
+
+def pairwise(rows: DataFrame, id_col: str, vector: str, name: str) -> DataFrame:
+    """(i, j, dist) of every two rows by a named metric: those with i < j are computed, their mirror images added.
+
+    A matrix for a stated, small set of rows: it has as many cells as the set has pairs.
+    """
+    a, b = rows.select(F.col(id_col).alias("i"), F.col(vector).alias("a")), rows.select(F.col(id_col).alias("j"), F.col(vector).alias("b"))
+    half = against_all(a, b, "i").where("i < j").select("i", "j", metric(name)(F.col("a"), F.col("b")).alias("dist"))
+    return half.union(half.select("j", "i", "dist"))
+
+
+def batch(queries: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """(query_id, item, dist) of queries (query_id, q) against rows (item, v) by a named metric."""
+    return against_all(rows, queries, "item").select("query_id", "item", metric(name)(F.col("q"), F.col("v")).alias("dist"))
+
+
+def seeded_sample(rows: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
+    """n rows without replacement, the smallest by a digest of id and seed: the same on every engine and at every partitioning."""
+    return rows.orderBy(F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)))), id_col).limit(n)

@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from curvespark.functions import curves
+from curvespark.functions import curves, frechet
 from curvespark.operators import store, tracks
-from curvespark.plans.native import PTS, points, query, r6, vec
+from curvespark.plans.native import PTS, TOP, points, query, r6, vec
 from curvespark.sources.tables import nested
 
 
@@ -16,14 +16,18 @@ def pairs(spark, d, radius=400.0):
     return tracks.candidate_pairs(s, s, radius).where("q < c").select("q", "c")
 
 
-def measured(kernel, out):
+def measured_many(kernel, out):
     def run(spark, d):
         n = nested(points(spark, d))
-        return store.compare(pairs(spark, d), n, n, kernel, out).select("q", "c", r6(out).alias(out))
+        return store.compare_many(pairs(spark, d), n, n, kernel, out).select("q", "c", r6(out).alias(out))
 
     return run
 
 
+def measured(kernel, out):
+    return measured_many(lambda ps, qs: [float(kernel(p, q)) for p, q in zip(ps, qs)], out)
+
+
 def named(name, f):
     f.__name__ = name
     return query(None)(f)
@@ -31,9 +35,9 @@ def named(name, f):
 
 frechet_discrete = named("frechet_discrete", measured(curves.discrete_frechet, "dist"))
 dtw = named("dtw", measured(curves.dtw, "cost"))
-frechet_decide = named("frechet_decide", measured(lambda p, q: curves.decide(p, q, 200.0), "within"))
-frechet_distance = named("frechet_distance", measured(lambda p, q: curves.frechet(p, q, 1e-3), "dist"))
-frechet_upper = named("frechet_upper", measured(lambda p, q: curves.frechet_upper(p, q, 1e-3), "upper"))
+frechet_decide = named("frechet_decide", measured_many(lambda ps, qs: frechet.decide_many(ps, qs, 200.0), "within"))
+frechet_distance = named("frechet_distance", measured_many(lambda ps, qs: frechet.distance_many(ps, qs, 1e-3), "dist"))
+frechet_upper = named("frechet_upper", measured_many(lambda ps, qs: frechet.distance_many(ps, qs, 1e-3, 1), "upper"))
 hausdorff_lb = named("hausdorff_lb", measured(curves.hausdorff_bound, "lb"))
 
 
@@ -78,7 +82,7 @@ def hilbert_keys(spark, d):
     return store.hilbert_keyed(vec(spark, d).select("vec_id", "v")).select("vec_id", F.hex("hkey").alias("hkey"))
 
 
-@query(None)
+@query(f"WITH {TOP} SELECT query_id, rank, vec_id, sim FROM top")
 def vector_search(spark, d):
     e = vec(spark, d).select("vec_id", "v")
     return store.vector_search(e, e.where("vec_id % 50 = 0"))

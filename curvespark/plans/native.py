@@ -170,11 +170,6 @@ def kv_count(spark, d):
     return kv(spark, d).agg(F.count("*").alias("n"))
 
 
-@query("SELECT l.doc_id, d.lang, l.quality FROM labels l JOIN documents d USING (doc_id) WHERE l.quality > 0")
-def emb_lookup_join(spark, d):
-    return S.table(spark, d, "labels").where("quality > 0").join(S.table(spark, d, "documents").select("doc_id", "lang"), "doc_id").select("doc_id", "lang", "quality")
-
-
 @query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality > 0)")
 def qrels_semi(spark, d):
     return S.table(spark, d, "documents").join(S.table(spark, d, "labels").where("quality > 0"), "doc_id", "left_semi").select("doc_id")

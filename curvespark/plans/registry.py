@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curvespark.plans import kernels, native
+from curvespark.plans import kernels, more, native
 
 assert kernels  # registers its queries
+native.SQL.update(more.TWINS)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
