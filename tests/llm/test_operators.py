@@ -187,10 +187,13 @@ def test_language(spark, empty):
     assert language.identify(docs, empty).where("lang_pred <> 'und'").count() == 0 and language.identify(empty, docs).count() == 0
 
 
-@pytest.mark.parametrize("size,percent", [(3, 85), (5, 80)])
-def test_near_duplicates(spark, docs, empty, size, percent):
+@pytest.mark.parametrize("size,percent,tight", [(3, 85, False), (5, 80, False), (3, 85, True)])
+def test_near_duplicates(spark, docs, empty, monkeypatch, size, percent, tight):
     from curvespark.llm import neardup
 
+    if tight:  # keys and hubs are hot at once, groups take several tiles
+        for name, value in (("HOT_ROWS", 2), ("HOT_SHARE", 10**9), ("TILE", 3), ("SENT_IDS", 1)):
+            monkeypatch.setattr(neardup, name, value)
     got = {r["doc_id"]: r for r in neardup.components(docs, size, percent).collect()}
     sets, up = {}, {}
     for i, t in enumerate(texts()):
@@ -203,7 +206,41 @@ def test_near_duplicates(spark, docs, empty, size, percent):
                 a, b = sorted((top(i), top(j)))
                 up[b] = a
     assert all((got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (len(sets[i]), top(i), top(i) == i) for i in sets)
-    assert neardup.components(empty, size, percent).count() == 0
+    if not tight:
+        assert neardup.components(empty, size, percent).count() == 0
+
+
+def test_near_duplicates_whose_links_form_chains(spark, monkeypatch):
+    """A group of copies at all distances from their source: few link with the hub, some only with each other, some with none."""
+    from curvespark.llm import neardup
+
+    monkeypatch.setattr(neardup, "TILE", 16)
+    monkeypatch.setattr(neardup, "HOT_ROWS", 10)
+    rng = random.Random(13)
+    source = [f"w{rng.randrange(400)}" for _ in range(150)]
+    rows = []
+    for i in range(90):
+        words = list(source)
+        for at in rng.sample(range(150), rng.choice((0, 1, 2, 3, 4, 5, 6, 8, 12))):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    sets = [{tuple(w[j : j + 3]) for j in range(len(w) - 2)} for w in (t.split() for _, t in rows)]
+    up = list(range(90))
+    for i in range(90):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = sorted((up[i], up[j]))
+                up = [a if u == b else u for u in up]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert [got[i] for i in range(90)] == up and 2 < len(set(up)) < 60
+
+
+def test_own_shingles(spark):
+    from curvespark.llm import neardup
+
+    sets = [(1, [1, 2, 3, 4]), (2, [3, 4, 5]), (3, [9]), (4, [3])]
+    df = spark.createDataFrame([(i, bytearray(neardup.packed(np.array(s, np.uint64)))) for i, s in sets], "id long, members binary")
+    assert {r["id"]: r["own"] for r in neardup.own_shingles(df).collect()} == {1: 2, 2: 1, 3: 1}
 
 
 def test_near_duplicates_of_an_id_with_two_texts(spark):
