@@ -12,12 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the folder that driver and executors share (spark.checkpoint.dir; a temporary one only where none is named)."""
+    """df written to the folder that driver and executors share (spark.checkpoint.dir). A temporary one only where none is named and all runs on one machine."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="shared-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            import tempfile
+
+            folder = "file://" + tempfile.mkdtemp(prefix="shared-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 

@@ -96,3 +96,93 @@ def test_curve_search_is_exact(spark, tmp_path, metric):
     for q in asked:
         want = sorted((round(curve_store.METRICS[metric](p[q], p[i]), 9), i) for i in p if i != q)[:5]
         assert got[q] == {k + 1: (i, d) for k, (d, i) in enumerate(want)}
+
+
+def test_compacted_log(spark, tmp_path):
+    kv = facades.Log(spark, f"{tmp_path}/kv", "k")
+    kv.put(spark.createDataFrame([(i, "a") for i in range(5)], "k long, v string"))
+    kv.put(spark.createDataFrame([(1, "b")], "k long, v string"))
+    kv.delete(spark.createDataFrame([(2,)], "k long"))
+    before = sorted(map(tuple, kv.rows().collect()))
+    kv.compact()
+    assert sorted(map(tuple, kv.rows().collect())) == before == [(0, "a"), (1, "b"), (3, "a"), (4, "a")] and kv.stats()["batches"] == 1
+    assert "Aggregate" not in kv.rows()._jdf.queryExecution().toString()
+    kv.put(spark.createDataFrame([(2, "c")], "k long, v string"))
+    assert kv.count() == 5
+
+
+def test_embeddings(spark, tmp_path):
+    e = facades.Embeddings(spark, f"{tmp_path}/e", 3)
+    make = lambda a, n: spark.createDataFrame([([float(i), 0.0, 1.0],) for i in range(a, a + n)], "v array<double>").repartition(3)
+    assert e.add_batch(make(0, 10)) == (0, 10) and e.add_batch(make(10, 7)) == (10, 17) and len(e) == 17 and e.size_bytes() == 17 * 24
+    assert sorted(r["emb_idx"] for r in e.get_all().collect()) == list(range(17))
+    assert {r["emb_idx"]: r["v"][0] < 10 for r in e.get_all().collect()} == {i: i < 10 for i in range(17)}
+    assert len(e.get_batch(spark.createDataFrame([(3,), (3,), (16,)], "emb_idx long")).collect()) == 3 and e.get(5) is not None
+    with pytest.raises(IndexError):
+        e.get(17)
+    with pytest.raises(Exception, match="no such vector"):
+        e.get_batch(spark.createDataFrame([(99,)], "emb_idx long")).collect()
+    with pytest.raises(ValueError):
+        e.add_batch(spark.createDataFrame([([1.0],)], "v array<double>"))
+
+
+def test_vector_store(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(words[:15] if i % 2 else words[15:], 12)) for i in range(60)]
+    docs = lambda a, b: spark.createDataFrame([(i, texts[i]) for i in range(a, b)], "doc_id long, text string")
+    db = facades.VectorStore(spark, f"{tmp_path}/v", bits=6, components=3)
+    with pytest.raises(RuntimeError):
+        db.search("x")
+    with pytest.raises(ValueError):
+        db.add_batch(docs(0, 2))
+    db.add_batch(docs(0, 40))
+    db.add_batch(docs(40, 60))
+    assert db.count() == 60 and db.fitted and len(db.explained_variance()) == 3
+    top = 2**18 - 1
+    near = [r["doc_id"] for r in db.search(texts[7], 5, radius=top).collect()]
+    whole = db.search(texts[7], 60, radius=top)
+    got = whole.orderBy("rank").collect()
+    assert got[0]["doc_id"] == 7 and got[0]["score"] > 0.999 and len(got) == 60 and len(near) == 5
+    assert [r["rank"] for r in got] == list(range(1, 61)) and all(a["score"] >= b["score"] for a, b in zip(got, got[1:]))
+    rows = {r["doc_id"]: int(r["hkey"]) for r in db.rows().collect()}
+    low = db.search(texts[7], 4, radius=top, rerank=False, candidates="low_end").orderBy("rank").collect()
+    assert [r["doc_id"] for r in low] == sorted(rows, key=lambda i: (rows[i], i))[:4] and {r["score"] for r in low} == {0.0}
+    close = db.search(texts[7], 4, radius=top, rerank=False).orderBy("rank").collect()
+    assert [r["doc_id"] for r in close] == sorted(rows, key=lambda i: (abs(rows[i] - rows[7]), i))[:4]
+    few = db.search(texts[7], 8, radius=0)  # too few in reach: half of all keys are
+    assert few.count() == min(8, sum(abs(k - rows[7]) <= top // 2 for k in rows.values()))
+    once = db.search(texts[7], 60, radius=top, last_wins=True)
+    assert once.count() == len({k for k in rows.values() if abs(k - rows[7]) <= top})
+    with pytest.raises(ValueError):
+        db.search("x", candidates="far")
+
+
+def test_curve_store(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(20)]
+    texts = [" ".join(rng.choice(words, 10)) for _ in range(25)]
+    db = facades.CurveStore(spark, f"{tmp_path}/c", components=4)
+    db.add_documents(spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, "one")], "doc_id long, text string"))
+    with pytest.raises(RuntimeError):
+        db.search("a b")
+    db.fit()
+    assert db.count() == 25 and len(db.explained_variance()) == 4
+    got = db.search(texts[3], 3).orderBy("rank").collect()
+    assert got[0]["doc_id"] == 3 and got[0]["dist"] < 1e-9 and got[0]["text"] == texts[3] and len(got) == 3
+    assert db.search("word", 2).count() == 2 and db.search("", 2).count() == 2
+    again = facades.CurveStore(spark, f"{tmp_path}/c", components=4)
+    rows = db.rows()
+    scores = {r["doc_id"]: r["scores"] for r in again.transform(rows).collect()}
+    saved = {r["doc_id"]: r["scores"] for r in spark.read.parquet(f"{tmp_path}/c/scores").collect()}
+    assert all(np.allclose(scores[i], saved[i]) for i in scores) and np.abs(np.mean(list(scores.values()), axis=0)).max() < 1e-9
+    v = {r["doc_id"]: np.array(r["v"]) for r in rows.collect()}
+    mean = np.mean(list(v.values()), axis=0)
+    left = [np.sum((again.inverse(scores[i]).ravel() - v[i]) ** 2) for i in v]
+    assert np.sum(left) < np.sum([np.sum((mean - x) ** 2) for x in v.values()])
+    with pytest.raises(ValueError):
+        facades.CurveStore(spark, f"{tmp_path}/d", metric="none")
+    few = facades.CurveStore(spark, f"{tmp_path}/e", components=4)
+    few.add_documents(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"))
+    with pytest.raises(ValueError):
+        few.fit()
