@@ -13,5 +13,9 @@ def gap_sessions(events: DataFrame, gap: str = "30 seconds", late: str = "1 minu
 
 
 def append_vectors(stream: DataFrame, keyed, path: str, checkpoint: str):
-    """Starts a query that keys every micro-batch (keyed: DataFrame -> DataFrame, with its model frozen) and appends it to path."""
-    return stream.writeStream.foreachBatch(lambda batch, _: keyed(batch).write.mode("append").parquet(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Starts a query that keys every micro-batch (keyed: DataFrame -> DataFrame, with its model frozen) and writes it to path.
+
+    A batch has a folder of its own, batch=<number>, so one that is run again after a failure replaces itself.
+    """
+    write = lambda batch, n: keyed(batch).write.mode("overwrite").parquet(f"{path}/batch={n}")
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
