@@ -38,8 +38,9 @@ from . import common
 K, MISS = 64, 1e-6
 #: Rows and shingles of one side of a tile.
 TILE, TILE_SHINGLES = 1024, 1_000_000
-#: Keys with more rows than this, and than one in HOT_SHARE of all sets, meet their hub by a broadcast; at most K * HOT_SHARE keys have that many.
-HOT_ROWS, HOT_SHARE = 100_000, 1000
+#: Keys and hubs with more rows than this, and than one in HOT_SHARE of all sets, meet their rows by a broadcast; as a set has K
+#: keys at most, no more than K * HOT_SHARE of them have that many.
+HOT_ROWS, HOT_SHARE = 1000, 1000
 #: Up to so many sets' numbers (48 bytes a row with fingerprint, 10 MB) are broadcast.
 SENT_IDS = 200_000
 #: Four-bit symbols of the sketch that candidates must also pass.
@@ -296,22 +297,26 @@ def _tiles(limit: int, apart: int, percent: int):
     return run
 
 
-def groups(reps: DataFrame, limit: int) -> DataFrame:
+def met(rows: DataFrame, keyed: DataFrame, key: str, sets: int) -> DataFrame:
+    """rows joined with keyed, which has one row a key and n, the key's rows (checkpointed); no task gets all rows of a hot key."""
+    most = max(HOT_ROWS, sets // HOT_SHARE)
+    hot = keyed.where(F.col("n") > most)
+    if hot.isEmpty():
+        return rows.join(keyed.drop("n"), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed.where(F.col("n") <= most).drop("n"), key)
+    return rest.unionByName(rows.join(F.broadcast(hot.drop("n")), key))
+
+
+def groups(reps: DataFrame, limit: int, sets: int) -> DataFrame:
     """(hub, id), distinct: sets of reps (id, sig) that share a key with others, under the smallest id of their bucket."""
-    spark = reps.sparkSession
     keys = reps.select("id", "sig").mapInPandas(_keys(limit), "key long, id long")
     hubs = common.cut(keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1"))
-    hot = hubs.where(F.col("n") > max(HOT_ROWS, reps.count() // HOT_SHARE)).select("key", "hub")
-    path = common.fresh_path(spark, "groups")
-    if hot.isEmpty():
-        met = keys.join(hubs.select("key", "hub"), "key")
-    else:
-        met = keys.join(F.broadcast(hot), "key", "left_anti").join(hubs.select("key", "hub"), "key").select("hub", "id").union(keys.join(F.broadcast(hot), "key").select("hub", "id"))
-    met.select("hub", "id").distinct().write.parquet(path)
-    return spark.read.parquet(path)
+    path = common.fresh_path(reps.sparkSession, "groups")
+    met(keys, hubs, "key", sets).select("hub", "id").distinct().write.parquet(path)
+    return reps.sparkSession.read.parquet(path)
 
 
-def tiled(rows: DataFrame, features: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def tiled(rows: DataFrame, features: DataFrame, sets: DataFrame, percent: int, count: int) -> DataFrame:
     """The rows of each tile pair (hub, i, j) of open groups (hub, id, comp), together and with all that comparing them takes."""
     spark = rows.sparkSession
     rows = common.cut(rows.join(features.select("id", "n_shingles"), "id"))
@@ -323,9 +328,9 @@ def tiled(rows: DataFrame, features: DataFrame, sets: DataFrame, percent: int) -
     sizes = sizes.groupBy("hub").agg(F.count("*").alias("comps"), most.alias("big"), F.sum("n").alias("n"), F.sum("total").alias("total")).where("comps > 1")
     tiles = lambda n, total: F.ceil(F.greatest(n / F.lit(TILE), total / F.lit(TILE_SHINGLES))).cast("int")
     one = (F.col("n") <= TILE) & (F.col("total") <= TILE_SHINGLES)
-    sizes = sizes.select("hub", F.col("big.comp").alias("big"), F.when(one, 0).otherwise(tiles(F.col("big.n"), F.col("big.total"))).alias("tb"),
+    sizes = sizes.select("hub", "n", F.col("big.comp").alias("big"), F.when(one, 0).otherwise(tiles(F.col("big.n"), F.col("big.total"))).alias("tb"),
                          F.when(one, 1).otherwise(tiles(F.col("n") - F.col("big.n"), F.col("total") - F.col("big.total"))).alias("tr"))
-    rows = rows.join(sizes, "hub")
+    rows = met(rows, common.cut(sizes), "hub", count)
     # tiles below tb hold the largest component, the others the rest
     deal = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     within = (F.col("comp") == F.col("big")) & (F.col("tb") > 0)
@@ -354,7 +359,8 @@ def linked(docs: DataFrame, shingle_words: int = 5, percent: int = 80, named: tu
     own = copies.join(features.where("fp IS NOT NULL").select("fp", F.col("doc_id").alias("least"), "n_shingles", "sig"), ["fp", "least"]).dropDuplicates(["fp", "least"])
     own.withColumn("id", F.monotonically_increasing_id()).write.parquet(sets)
     reps = spark.read.parquet(sets)
-    members = groups(reps, limit)
+    count = reps.count()
+    members = groups(reps, limit, count)
     grouped = common.cut(reps.join(members.select("id").distinct(), "id", "left_semi").select("id", "fp", F.col("least").alias("doc_id"), "n_shingles", "sig"))
     full = full_sets(grouped.select("id", "fp", "doc_id"), docs, shingle_words)
     links = confirmed(members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")), grouped, full, limit, percent)
@@ -363,13 +369,13 @@ def linked(docs: DataFrame, shingle_words: int = 5, percent: int = 80, named: tu
     def open_groups():
         """Members of groups that still hold several components, with a member drawn from each."""
         m = members.join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        split = m.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("id", "hub"), "id", "comp")).alias("h")).where("lo <> hi").select("hub", "h")
-        return m.join(split, "hub")
+        split = m.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", "hub"), "id", "comp")).alias("h")).where("lo <> hi")
+        return met(m, common.cut(split.select("hub", "h", "n")), "hub", count)
 
     pairs = open_groups().where(F.col("comp") != F.col("h.comp")).select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).distinct()
     links = links.union(confirmed(pairs, grouped, full, limit, percent))
     found = connected(links)
-    rest = tiled(open_groups().select("hub", "id", "comp"), grouped.select("id", "n_shingles", "sig"), full, percent)
+    rest = tiled(open_groups().select("hub", "id", "comp"), grouped.select("id", "n_shingles", "sig"), full, percent, count)
     found = connected(links.union(rest.mapInPandas(_tiles(limit, distance_limit(percent / 100, SKETCH, 4), percent), "a long, b long")))
     of_set = common.cut(reps.select("id", "fp", "least").join(found, "id", "left").select("fp", "least", F.coalesce("comp", "id").alias("comp")))
     whole = of_set.join(of_set.groupBy("comp").agg(F.min("least").alias("component")), "comp")
