@@ -63,8 +63,11 @@ def train(docs: DataFrame, smoothing: float = 0.5) -> tuple[list[str], np.ndarra
     return [r["lang"] for r in found], np.log(counts / counts.sum(axis=1, keepdims=True)) if found else counts
 
 
-def _em(c, p, start, rounds):
-    """Proportions and log likelihoods of the documents' sparse rows; start's zeros stay."""
+def _em(c, p, start, rounds, bound: bool = False):
+    """(proportions, log likelihoods) of the documents' sparse rows; start's zeros stay. With bound, instead of the latter what no proportions exceed.
+
+    The likelihood is concave: its best value is at most its value plus the largest slope towards a language less the number of observations.
+    """
     row, val, n = c
     docs = start.shape[0]
     pi = start / start.sum(axis=1, keepdims=True)
@@ -74,7 +77,8 @@ def _em(c, p, start, rounds):
         den = np.maximum(mix.sum(axis=1, keepdims=True), 1e-300)
         pi = np.add.reduceat(mix * (val[:, None] / den), at, axis=0) / n[:, None]
     den = np.maximum((pi[row] * p).sum(axis=1), 1e-300)
-    return pi, np.add.reduceat(val * np.log(den), at)
+    ll = np.add.reduceat(val * np.log(den), at)
+    return pi, ll + np.maximum(np.add.reduceat(p * (val / den)[:, None], at, axis=0).max(axis=1) - n, 0) if bound else ll
 
 
 def infer(texts: list, log_p: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
@@ -98,9 +102,9 @@ def infer(texts: list, log_p: np.ndarray, rounds: int = 12) -> tuple[np.ndarray,
             return (row, counts[which][row, col].astype(float), n[which]), np.exp(log_p[:, col]).T
 
         c, p = sparse(np.arange(len(some)))
-        full, ll = _em(c, p, np.ones((len(some), langs)), rounds)
+        full, most = _em(c, p, np.ones((len(some), langs)), rounds, True)
         score = single.max(axis=1)
-        more = np.flatnonzero(ll / 3 - pen > score)  # no set of two or more can win elsewhere: the full fit bounds them all
+        more = np.flatnonzero(most / 3 - pen > score)  # elsewhere no set of two or more can win, whatever its proportions
         order = np.argsort(-full, axis=1, kind="stable")
         for size in range(2, langs + 1):
             if not len(more):

@@ -187,6 +187,51 @@ def test_language(spark, empty):
     assert language.identify(docs, empty).where("lang_pred <> 'und'").count() == 0 and language.identify(empty, docs).count() == 0
 
 
+def test_language_mixtures_like_brute_force():
+    """EM over dictionaries, one document at a time; the set grows in the order of the full fit while the penalised likelihood rises."""
+    from curvespark.llm import language
+
+    rng = random.Random(14)
+    letters = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "xyzuvw"}
+    say = lambda lang, n: " ".join("".join(rng.choices(letters[lang], k=5)) for _ in range(n))
+    train = {lang: language.grams([say(lang, 400)])[0] + 0.5 for lang in letters}
+    log_p = np.log(np.array([c / c.sum() for c in train.values()]))
+    texts = [say("aa", 40), say("aa", 30) + " " + say("cc", 25), say("bb", 3), say("aa", 20) + say("bb", 20) + say("cc", 20), "x", "", None, "12 3", say("cc", 200) + " " + say("bb", 8)]
+    got, has = language.infer(texts, log_p)
+
+    def em(counts, which, rounds):
+        pi = {k: 1 / len(which) for k in which}
+        for _ in range(rounds):
+            new = dict.fromkeys(which, 0.0)
+            for x, c in counts.items():
+                mix = sum(pi[k] * math.exp(log_p[k][x]) for k in which)
+                for k in which:
+                    new[k] += c * pi[k] * math.exp(log_p[k][x]) / mix
+            pi = {k: v / sum(counts.values()) for k, v in new.items()}
+        return pi, sum(c * math.log(sum(pi[k] * math.exp(log_p[k][x]) for k in which)) for x, c in counts.items())
+
+    sizes = set()
+    for i, text in enumerate(texts):
+        counts = {int(x): int(c) for x, c in enumerate(language.grams([text])[0]) if c}
+        assert has[i] == bool(counts)
+        if not counts:
+            assert (got[i] == 0).all()
+            continue
+        n = sum(counts.values())
+        single = [sum(c * log_p[k][x] for x, c in counts.items()) / 3 for k in range(3)]
+        best, pi = max(single), {int(np.argmax(single)): 1.0}
+        full, _ = em(counts, range(3), 12)
+        order = sorted(range(3), key=lambda k: -full[k])
+        for size in (2, 3):
+            fit, ll = em(counts, order[:size], 24)
+            if ll / 3 - (size - 1) * 0.5 * math.log(max(n / 3, 2)) <= best:
+                break
+            best, pi = ll / 3 - (size - 1) * 0.5 * math.log(max(n / 3, 2)), fit
+        assert np.allclose(got[i], [pi.get(k, 0.0) for k in range(3)], atol=1e-9), text
+        sizes.add(len(pi))
+    assert sizes >= {1, 2}
+
+
 @pytest.mark.parametrize("size,percent,tight", [(3, 85, False), (5, 80, False), (3, 85, True)])
 def test_near_duplicates(spark, docs, empty, monkeypatch, size, percent, tight):
     from curvespark.llm import neardup
@@ -442,6 +487,35 @@ def test_quality(spark, docs, empty):
     assert quality.judged(empty, labels).count() == 0
 
 
+def test_quality_verdicts_that_reject(spark):
+    """Enough labelled documents that cutoffs are certified: the verdicts, rejections among them, equal the SQL twin's; repeats and empties besides."""
+    import duckdb
+
+    from curvespark.llm import common, quality
+
+    rng = random.Random(15)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(2000)]
+    make = lambda i, extra: (i, " ".join(rng.choices(words, k=60)) + extra, "xx" if i % 5 else "yy")
+    rows = [make(i, "") for i in range(1200)] + [make(2000 + i, " #$%&" * 12) for i in range(30)] + [make(3000 + i, "\nsame line" * 9) for i in range(30)] + [make(4000 + i, " LOUD" * 5 + " " + " ".join(w.upper() for w in rng.choices(words, k=40))) for i in range(30)]
+    rows += [(5000, None, "xx"), (5001, "", None), (5002, "few words", "zz")]
+    labels = [(i, 1) for i, *_ in rows[:1200]] + [(2000, 0), (2001, 1), (3000, 0), (5000, 1), (7, 0), (None, 1), (8, None)]
+    path = common.fresh_path(spark, "quality")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{path}/labels.parquet")
+    got = {tuple(r) for r in quality.op8_quality_rules(spark, path).collect()}
+    con, local = duckdb.connect(), path.removeprefix("file://").removeprefix("file:")
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{local}/{name}.parquet/*.parquet'")
+    want = con.execute(quality.SQL).df()
+    kept = want.set_index("doc_id").kept
+    assert got == {tuple(x.item() if hasattr(x, "item") else x for x in r) for r in want[["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]].itertuples(index=False)}
+    rejected = want[~want.base_failed & ~want.kept].doc_id
+    assert len(rejected) > 20 and (rejected >= 2000).all() and kept[:1200].all()
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    twice = quality.judged(docs.where("doc_id IN (1, 2001)").union(docs.where("doc_id IN (1, 2001)")), spark.read.parquet(f"{path}/labels.parquet"))
+    assert twice.count() == 4
+
+
 def test_binomial_tail(spark):
     from pyspark.sql import functions as F
 
