@@ -141,12 +141,10 @@ def outcomes(qs: list, cs: list, r: float, slack: np.ndarray, bound: np.ndarray)
     out = np.full(len(qs), "reject_cheap", dtype=object)
     left = np.flatnonzero(bound <= r + slack)
     some = lambda rows, e, margin: F.decide_many([qs[i] for i in rows], [cs[i] for i in rows], e, margin)
-    sure = left[slack[left] <= r]
-    yes = sure[some(sure, r - slack[sure], 1)]
-    out[left], out[yes] = "", "accept"
-    rest = np.setdiff1d(left, yes)
-    maybe = some(rest, r + slack[rest], -1)
-    out[rest] = np.where(maybe, "refine", "reject_interval")
+    maybe = left[some(left, r + slack[left], -1)]
+    out[left], out[maybe] = "reject_interval", "refine"
+    sure = maybe[slack[maybe] <= r]
+    out[sure[some(sure, r - slack[sure], 1)]] = "accept"
     return out.tolist()
 
 

@@ -17,33 +17,48 @@ _SLACK = 64 * np.finfo(float).eps
 _NONE = 2.0
 
 
-def _free(points: np.ndarray, line: np.ndarray, eps: np.ndarray, margin: int) -> tuple[np.ndarray, np.ndarray]:
-    """Parameters of each segment of line (pairs, segments + 1, d) within eps of each point (pairs, points, d); lo > hi where there are none."""
-    e = eps[:, None, None]
-    start, d = line[:, None, :-1], (line[:, 1:] - line[:, :-1])[:, None]
-    rel = start - points[:, :, None]
-    a, b, square = (d * d).sum(axis=3), (rel * d).sum(axis=3), (rel * rel).sum(axis=3)
-    c = square - e * e
-    tip = line[:, None, -1] - points
-    gap = np.concatenate((square, (tip * tip).sum(axis=2)[:, :, None]), axis=2)
+def _span(a, b, c, begin, end) -> tuple[np.ndarray, np.ndarray]:
+    """Solutions in [0, 1] of a x^2 + 2 b x + c <= 0; lo > hi where there are none. begin, end: whether 0 and 1 are, as decided for the vertices
+    themselves, so that neighbouring cells agree."""
+    inverse = np.divide(1.0, a, out=np.zeros_like(a), where=a > 0)
+    root = b * b
+    root -= a * c
+    none = root < 0
+    np.sqrt(np.maximum(root, 0, out=root), out=root)
+    lo, hi = (-b - root) * inverse, (root - b) * inverse
+    if (a == 0).any():  # a segment without length is its point
+        flat = np.broadcast_to(a == 0, lo.shape)
+        lo, hi, none = np.where(flat, 0.0, lo), np.where(flat, 1.0, hi), np.where(flat, ~begin, none)
+    np.maximum(lo, np.nextafter(0, 1), out=lo)
+    np.minimum(hi, np.nextafter(1, 0), out=hi)
+    none |= lo > hi
+    lo[none], hi[none] = _NONE, -1.0
+    hi[begin] = np.maximum(hi[begin], 0.0)
+    lo[end] = np.minimum(lo[end], 1.0)
+    lo[begin], hi[end] = 0.0, 1.0
+    return lo, hi
+
+
+def _free(p, q, eps, margin: int, low: bool = True):
+    """Free intervals (lo, hi) of the segments of q at the points of p (pairs, points of p, segments of q), and with low of the segments of p at the
+    points of q (pairs, segments of p, points of q)."""
+    e, dims = eps[:, None, None], range(p.shape[2])
+    gap = [q[:, None, :, k] - p[:, :, None, k] for k in dims]
+    square = sum(g * g for g in gap)
     room = e * e
-    if margin:
-        c = c + margin * _SLACK * (np.sqrt(square) + np.sqrt(a) + e) ** 2
-        gap = gap + margin * _SLACK * (np.sqrt(gap) + e) ** 2
-    near = gap <= room
-    disc = b * b - a * c
-    with np.errstate(divide="ignore", invalid="ignore"):
-        root = np.sqrt(np.where(disc >= 0, disc, np.nan))
-        lo, hi = np.maximum((-b - root) / a, 0), np.minimum((-b + root) / a, 1)
-    flat = np.broadcast_to(a == 0, lo.shape)
-    lo, hi = np.where(flat, np.where(near[:, :, :-1], 0, _NONE), lo), np.where(flat, np.where(near[:, :, :-1], 1, -1), hi)
-    bad = ~(lo <= hi)
-    lo, hi = np.where(bad, _NONE, lo), np.where(bad, -1.0, hi)
-    # ends are decided by the vertices' own distance, so that neighbouring cells agree
-    lo = np.where(near[:, :, :-1], 0.0, np.where(lo <= 0, np.nextafter(0, 1), lo))
-    hi = np.where(near[:, :, :-1], np.maximum(hi, 0.0), hi)
-    lo = np.where(near[:, :, 1:], np.minimum(lo, 1.0), lo)
-    return lo, np.where(near[:, :, 1:], 1.0, np.where(hi >= 1, np.nextafter(1, 0), hi))
+    near = square + margin * _SLACK * (np.sqrt(square) + e) ** 2 <= room if margin else square <= room
+    c = square - room
+
+    def family(step, along, begin, end, part):
+        a = sum(d * d for d in step)
+        own = c[part] + margin * _SLACK * (np.sqrt(square[part]) + np.sqrt(a) + e) ** 2 if margin else c[part]
+        return _span(a, sum(g[part] * d for g, d in zip(along, step)), own, begin, end)
+
+    of_q, of_p = np.diff(q, axis=1), np.diff(p, axis=1)
+    left = family([of_q[:, None, :, k] for k in dims], gap, near[:, :, :-1], near[:, :, 1:], np.s_[:, :, :-1])
+    if not low:
+        return left
+    return left, family([-of_p[:, :, None, k] for k in dims], gap, near[:, :-1], near[:, 1:], np.s_[:, :-1])
 
 
 def _along(lo: np.ndarray, hi: np.ndarray, begun: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,9 +73,20 @@ def _sweep(p, q, eps, margin, enter, side):
 
     Returns the same at p's last point, and whether the far corner is reached there.
     """
-    left_lo, left_hi = _free(p, q, eps, margin)
-    low_lo, low_hi = (np.ascontiguousarray(x.transpose(0, 2, 1)) for x in _free(q, p, eps, margin))
-    pairs, n, m = len(p), p.shape[1], q.shape[1]
+    (left_lo, left_hi), (low_lo, low_hi) = _free(p, q, eps, margin)
+    # a point of p that q never comes near ends a pair
+    alive = (left_lo <= left_hi).any(axis=2).all(axis=1)
+    if not alive.all():
+        out = np.full(enter.shape, _NONE), np.zeros(len(p), dtype=bool), np.zeros(len(p), dtype=bool)
+        if alive.any():
+            for to, x in zip(out, _swept(*(x[alive] for x in (left_lo, left_hi, low_lo, low_hi, enter, side)))):
+                to[alive] = x
+        return out
+    return _swept(left_lo, left_hi, low_lo, low_hi, enter, side)
+
+
+def _swept(left_lo, left_hi, low_lo, low_hi, enter, side):
+    pairs, n, m = left_lo.shape[0], left_lo.shape[1], low_lo.shape[2]
     reached, side = _along(low_lo[:, :, 0], low_hi[:, :, 0], side)
     up, across = np.full((pairs, n, m - 1), _NONE), np.full((pairs, n - 1, m), _NONE)
     up[:, 0] = enter
@@ -91,9 +117,11 @@ def _decided(p: np.ndarray, q: np.ndarray, eps: np.ndarray, margin: int) -> np.n
     if p.shape[1] < q.shape[1]:
         p, q = q, p
     ok = _close(p[:, 0], q[:, 0], eps, margin) & _close(p[:, -1], q[:, -1], eps, margin)
-    if not ok.any():
+    if not ok.all():
+        if ok.any():
+            ok[ok] = _decided(p[ok], q[ok], eps[ok], margin)
         return ok
-    lo, hi = _free(p[:, :1], q, eps, margin)
+    lo, hi = _free(p[:, :1], q, eps, margin, False)
     begun, _ = _along(lo[:, 0], hi[:, 0], ok)
     enter, side, end = np.where(begun, 0.0, _NONE), ok, ok
     rows = max(1, CELLS // (len(p) * q.shape[1]))
@@ -174,7 +202,7 @@ def upper(p, q, tol: float = 1e-6) -> float:
 def within_chord(piece: np.ndarray, eps: float) -> bool:
     """Whether a piece is proven within eps of the segment of its first and last point, by one pass: a segment's free intervals only have to keep order."""
     piece = piece - piece[0]
-    lo, hi = _free(piece[None], piece[None, [0, -1]], np.array([eps]), 1)
+    lo, hi = _free(piece[None], piece[None, [0, -1]], np.array([eps]), 1, False)
     lo, hi = lo[0, :, 0], hi[0, :, 0]
     return bool((lo <= hi).all() and lo[0] == 0 and hi[-1] == 1 and (np.maximum.accumulate(lo) <= hi).all())
 
