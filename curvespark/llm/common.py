@@ -69,6 +69,23 @@ def drop_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Keys with more rows than this, and than one in HOT_SHARE of all rows, meet them by a broadcast; there are HOT_SHARE of them at most.
+HOT_ROWS, HOT_SHARE = 1000, 64_000
+
+
+def met(rows: DataFrame, keyed: DataFrame, key: str, count: int) -> DataFrame:
+    """rows (count of them, at most) joined with keyed, which has one row a key and n, that key's rows; keyed is checkpointed or written.
+
+    No task gets all rows of a hot key.
+    """
+    most = max(HOT_ROWS, count // HOT_SHARE)
+    hot = keyed.where(F.col("n") > most)
+    if hot.isEmpty():
+        return rows.join(keyed.drop("n"), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed.where(F.col("n") <= most).drop("n"), key)
+    return rest.unionByName(rows.join(F.broadcast(hot.drop("n")), key))
+
+
 def crc_mod(column: str, modulus: int) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
@@ -129,3 +146,18 @@ def slices(texts: list, limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
             at, total = i + 1, 0
     if at < len(texts):
         yield at, len(texts)
+
+
+def gathered(batches, column: str = "text", limit: int = 2_000_000):
+    """Arrow batches put together to about limit characters of a column."""
+    import pandas as pd
+
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += sum(len(t or "") for t in batch[column])
+        if total >= limit:
+            yield pd.concat(held, ignore_index=True)
+            held, total = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)

@@ -38,9 +38,6 @@ from . import common
 K, MISS = 64, 1e-6
 #: Rows and shingles of one side of a tile.
 TILE, TILE_SHINGLES = 1024, 1_000_000
-#: Keys and hubs with more rows than this, and than one in HOT_SHARE of all sets, meet their rows by a broadcast; as a set has K
-#: keys at most, no more than K * HOT_SHARE of them have that many.
-HOT_ROWS, HOT_SHARE = 1000, 1000
 #: Up to so many sets' numbers (48 bytes a row with fingerprint, 10 MB) are broadcast.
 SENT_IDS = 200_000
 #: Four-bit symbols of the sketch that candidates must also pass.
@@ -297,22 +294,12 @@ def _tiles(limit: int, apart: int, percent: int):
     return run
 
 
-def met(rows: DataFrame, keyed: DataFrame, key: str, sets: int) -> DataFrame:
-    """rows joined with keyed, which has one row a key and n, the key's rows (checkpointed); no task gets all rows of a hot key."""
-    most = max(HOT_ROWS, sets // HOT_SHARE)
-    hot = keyed.where(F.col("n") > most)
-    if hot.isEmpty():
-        return rows.join(keyed.drop("n"), key)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed.where(F.col("n") <= most).drop("n"), key)
-    return rest.unionByName(rows.join(F.broadcast(hot.drop("n")), key))
-
-
 def groups(reps: DataFrame, limit: int, sets: int) -> DataFrame:
     """(hub, id), distinct: sets of reps (id, sig) that share a key with others, under the smallest id of their bucket."""
     keys = reps.select("id", "sig").mapInPandas(_keys(limit), "key long, id long")
     hubs = common.cut(keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1"))
     path = common.fresh_path(reps.sparkSession, "groups")
-    met(keys, hubs, "key", sets).select("hub", "id").distinct().write.parquet(path)
+    common.met(keys, hubs, "key", K * sets).select("hub", "id").distinct().write.parquet(path)
     return reps.sparkSession.read.parquet(path)
 
 
@@ -330,7 +317,7 @@ def tiled(rows: DataFrame, features: DataFrame, sets: DataFrame, percent: int, c
     one = (F.col("n") <= TILE) & (F.col("total") <= TILE_SHINGLES)
     sizes = sizes.select("hub", "n", F.col("big.comp").alias("big"), F.when(one, 0).otherwise(tiles(F.col("big.n"), F.col("big.total"))).alias("tb"),
                          F.when(one, 1).otherwise(tiles(F.col("n") - F.col("big.n"), F.col("total") - F.col("big.total"))).alias("tr"))
-    rows = met(rows, common.cut(sizes), "hub", count)
+    rows = common.met(rows, common.cut(sizes), "hub", K * count)
     # tiles below tb hold the largest component, the others the rest
     deal = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     within = (F.col("comp") == F.col("big")) & (F.col("tb") > 0)
@@ -370,7 +357,7 @@ def linked(docs: DataFrame, shingle_words: int = 5, percent: int = 80, named: tu
         """Members of groups that still hold several components, with a member drawn from each."""
         m = members.join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         split = m.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", "hub"), "id", "comp")).alias("h")).where("lo <> hi")
-        return met(m, common.cut(split.select("hub", "h", "n")), "hub", count)
+        return common.met(m, common.cut(split.select("hub", "h", "n")), "hub", K * count)
 
     pairs = open_groups().where(F.col("comp") != F.col("h.comp")).select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).distinct()
     links = links.union(confirmed(pairs, grouped, full, limit, percent))

@@ -183,9 +183,10 @@ def decide(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html",
     """(record, payload_bytes, payload_digest, record_type, refers_to) for each row."""
     sums = chunk_table(pages, id_col, payload_col, chunk_bytes).mapInPandas(digests, "record string, payload_bytes long, payload_digest string, sha string").withColumn("record", F.expr("try_cast(record AS long)"))
     sums = common.cut(sums)
-    first = sums.where(F.col("payload_bytes") >= min_revisit_bytes).groupBy("payload_digest").agg(F.min("record").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("record"))
-    return sums.join(first, "payload_digest", "left").select(
+    same = F.when(F.col("payload_bytes") >= min_revisit_bytes, F.col("record"))
+    first = common.cut(sums.groupBy("payload_digest").agg(F.min(same).alias("first"), F.count("*").alias("n")))
+    revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("record")) & (F.col("payload_bytes") >= min_revisit_bytes)
+    return common.met(sums, first, "payload_digest", sums.count()).select(
         "record", "sha", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
 
 
@@ -195,9 +196,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = decide(pages)
     folder = common.fresh_path(spark, "warc")
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
-    told = plan.dropDuplicates(["record", "sha"]).withColumnsRenamed({"record": "told_id", "sha": "told_sha"})
-    records = pages.withColumnRenamed("page_id", "record").withColumn("sha", F.sha1(payload))
-    records = records.join(told, F.col("record").eqNullSafe(F.col("told_id")) & (F.col("sha") == F.col("told_sha")))
+    key = F.concat_ws("|", F.coalesce(F.col("record").cast("string"), F.lit("-")), "sha")
+    what = F.first(F.struct("record_type", "refers_to", "payload_digest", "payload_bytes")).alias("what")  # the same for all rows of a key
+    told = common.cut(plan.withColumn("row_key", key).groupBy("row_key").agg(what, F.count("*").alias("n")))
+    records = pages.withColumnRenamed("page_id", "record").withColumn("sha", F.sha1(payload)).withColumn("row_key", key)
+    records = common.met(records, told, "row_key", told.agg(F.sum("n")).first()[0] or 0).select("record", "html", "what.*")
     return read_archives(write_archives(records, folder, "record", "html"), folder)
 
 
