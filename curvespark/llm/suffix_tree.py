@@ -32,11 +32,11 @@ from . import common
 
 DEPTH, EVIDENCE, GAIN, KAPPA = 2, 4, 4.0, 16.0
 SPLIT = 200_000
-CHUNK_CHARS = 14_000_000
+CHUNK_CHARS = 7_000_000
 _END_HASH = np.uint64(0x51ED270B7F4A7C15)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Steps a nat of the suffix's log probability, as buckets see it for the test.
-_FINE = 2048.0
+_FINE = 256.0
 
 
 def squeezed(values: np.ndarray) -> bytes:
@@ -284,21 +284,23 @@ def score(docs: DataFrame, train: F.Column, split: int = SPLIT) -> DataFrame:
     flagged = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"))
     # dealt by chunk once, so only answers move to the chunks afterwards
     chunks = common.dealt(flagged.mapInPandas(_chunked(), CHUNK), buckets, "chunk")
+    common.drop_shuffles(spark)
     schema = [c.split()[0] for c in ANSWER.split(", ")]
 
     def written(answers: DataFrame) -> DataFrame:
         path = common.fresh_path(spark, "answers")
         answers.write.parquet(path)
-        common.drop_shuffles(spark)
         return spark.read.schema(ANSWER).parquet(path).select(*schema)
 
     asked = chunks.select("chunk", "words", "tf").mapInPandas(_asked_words(buckets), "chunk long, bucket int, ctx binary, tf binary")
     answers = written(asked.groupBy("bucket").applyInPandas(_words_answered, ANSWER))
+    common.drop_shuffles(spark)
     sums = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("types", "ones", "total")]).first()
     said = {"types": int(sums["types"]), "ones": int(sums["ones"]), "tokens": int(sums["total"]), "split": split}
     met = lambda f, schema: chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(f, schema)
     for step in range(1, DEPTH + 1):
         answers = answers.unionByName(written(met(_asking(step, buckets, said), ASK).groupBy("bucket").applyInPandas(_ngrams_answered(step), ANSWER)))
+        common.drop_shuffles(spark)
     out = met(_scored(buckets, said), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(said["tokens"]).cast("long"))
 
