@@ -167,7 +167,7 @@ def coder(path: str):
         if path not in _READY:
             _READY[path] = TrieBPE(path)
         bpe = _READY[path]
-        for batch in batches:
+        for batch in common.gathered(batches):
             out, texts = [], batch["text"].tolist()
             for a, b in common.slices(texts, 2_000_000):
                 for doc, (ids, n, back) in zip(batch["doc_id"][a:b], bpe.encode_all(texts[a:b])):

@@ -234,11 +234,11 @@ def test_language_mixtures_like_brute_force():
 
 @pytest.mark.parametrize("size,percent,tight", [(3, 85, False), (5, 80, False), (3, 85, True)])
 def test_near_duplicates(spark, docs, empty, monkeypatch, size, percent, tight):
-    from curvespark.llm import neardup
+    from curvespark.llm import common, neardup
 
     if tight:  # keys and hubs are hot at once, groups take several tiles
-        for name, value in (("HOT_ROWS", 2), ("HOT_SHARE", 10**9), ("TILE", 3), ("SENT_IDS", 1)):
-            monkeypatch.setattr(neardup, name, value)
+        for module, name, value in ((common, "HOT_ROWS", 2), (neardup, "TILE", 3), (neardup, "SENT_IDS", 1)):
+            monkeypatch.setattr(module, name, value)
     got = {r["doc_id"]: r for r in neardup.components(docs, size, percent).collect()}
     sets, up = {}, {}
     for i, t in enumerate(texts()):
@@ -257,10 +257,10 @@ def test_near_duplicates(spark, docs, empty, monkeypatch, size, percent, tight):
 
 def test_near_duplicates_whose_links_form_chains(spark, monkeypatch):
     """A group of copies at all distances from their source: few link with the hub, some only with each other, some with none."""
-    from curvespark.llm import neardup
+    from curvespark.llm import common, neardup
 
     monkeypatch.setattr(neardup, "TILE", 16)
-    monkeypatch.setattr(neardup, "HOT_ROWS", 10)
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
     rng = random.Random(13)
     source = [f"w{rng.randrange(400)}" for _ in range(150)]
     rows = []
@@ -529,11 +529,14 @@ def test_binomial_tail(spark):
         assert math.isclose(got, want, rel_tol=1e-8)
 
 
-def test_warc(spark, empty):
+@pytest.mark.parametrize("hot_rows", [1000, 1])
+def test_warc(spark, empty, monkeypatch, hot_rows):
     import base64
 
     from curvespark.llm import common, warc
 
+    monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
+
     pages = [(1, "a"), (2, "b" * 300_000), (3, "a"), (4, None), (5, ""), (6, "WARC/1.1\r\n\r\nü"), (7, "b" * 300_000), (8, "a"), (2**53 + 1, "a"), (2**53 + 3, "c")]
     df = spark.createDataFrame([(i, h, "x", "y") for i, h in pages], "page_id long, html string, url string, payload_bytes string")
     path = common.fresh_path(spark, "pages")
@@ -579,19 +582,50 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(df.limit(0), asks).count() == topk.top_k(df, F.lit(None).cast("boolean")).count() == 0
 
 
-def test_pipeline(spark, tmp_path):
-    import corpus_pipeline
-    from curvespark.llm import neardup
+def test_pipeline(spark):
+    """The whole pipeline against plain Python: letters decide the language, rules over word lists, all pairs of shingle sets, the library's ids."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
 
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").toPandas()
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    kept = docs
-    for _, stage in corpus_pipeline.STAGES[:2]:
-        kept = stage(spark, kept, "/root/testdata/sf0.001")
-        assert kept.columns == docs.columns
-    first = neardup.components(kept, 5, 80).where("kept").toPandas()
-    assert set(out.doc_id) == set(first.doc_id)
-    assert (out.groupby("doc_id").length.sum() == out.groupby("doc_id").doc_tokens.first()).all()
+    import corpus_pipeline
+    from curvespark.llm import common
+
+    rng = random.Random(16)
+    letters = {"aa": "abcdefgh", "bb": "qrstuvwx"}
+    say = lambda lang, n: " ".join("".join(rng.choices(letters[lang], k=rng.randint(3, 7))) for _ in range(n))
+    texts = [say(lang, rng.randint(55, 90)) for lang in ("aa", "bb") for _ in range(20)]
+    near = lambda x, n: " ".join(f"{w}x" if i in range(20, 20 + n) else w for i, w in enumerate(x.split()))
+    texts += texts[:3] + [near(texts[5], 1), near(texts[6], 12), texts[7].upper()] + [None, "", "12 34 !!", say("aa", 10), "abc def ghk " * 40, say("bb", 4000)]
+    rows = [(i, x, ("aa" if i < 20 else "bb") if i < 40 else None, "s", 1) for i, x in enumerate(texts)]
+    path = common.fresh_path(spark, "pipeline-in")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(0, 1)], "doc_id long, quality int").write.parquet(f"{path}/labels.parquet")
+    kept, words = [], {}
+    for i, x in enumerate(texts):
+        w = WORD.findall(x or "")
+        windows = Counter(zip(w, w[1:], w[2:]))
+        repeat = {j + k for j in range(len(w) - 2) if windows[tuple(w[j : j + 3])] > 1 for k in range(3)}
+        if re.search("[a-zA-Z]", x or "") and len(w) >= 50 and 100 * len(repeat) <= 50 * len(w):
+            kept.append(i)
+            words[i] = WORD.findall(x.translate(LOW))
+    sets, up = {i: {tuple(words[i][j : j + 5]) for j in range(len(words[i]) - 4)} for i in kept}, {i: i for i in kept}
+    for i in kept:
+        for j in kept:
+            if j < i and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((up[i], up[j]))
+                up = {k: a if v == b else v for k, v in up.items()}
+    out = corpus_pipeline.run(spark, path).toPandas()
+    want = {i for i in kept if up[i] == i}
+    assert set(out.doc_id) == want and len(want) < len(kept) < len(texts)
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for i, part in out.sort_values("start").groupby("doc_id"):
+        ids = np.array([*t.encode(texts[i], add_special_tokens=False).ids, 1], "<u4")
+        assert part.length.sum() == len(ids) and (part.start.to_numpy() == np.cumsum(part.length) - part.length).all()
+        assert [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(part.start, part.length)] == part.ids_crc32.tolist()
+    path = common.fresh_path(spark, "pipeline-in")
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{path}/labels.parquet")
+    assert corpus_pipeline.run(spark, path).count() == 0
 
 
 def test_pipeline_judges_rows_without_and_with_repeated_ids(spark):
