@@ -62,11 +62,17 @@ def dealt(df: DataFrame, parts: int, column: str) -> DataFrame:
 
 
 def drop_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so as the driver's garbage is collected."""
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so as the driver's garbage is collected.
+
+    What the first collection frees on this side is free on Spark's only in the second; deletion runs beside them.
+    """
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 #: Keys with more rows than this, and than one in HOT_SHARE of all rows, meet them by a broadcast; there are HOT_SHARE of them at most.
