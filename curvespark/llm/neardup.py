@@ -242,6 +242,7 @@ def connected(edges: DataFrame) -> DataFrame:
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         e = large.join(lowest, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         e = common.cut(e)
+        common.drop_shuffles(edges.sparkSession)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             return e.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(e.select("v", "v").distinct())
@@ -348,10 +349,12 @@ def linked(docs: DataFrame, shingle_words: int = 5, percent: int = 80, named: tu
     reps = spark.read.parquet(sets)
     count = reps.count()
     members = groups(reps, limit, count)
+    common.drop_shuffles(spark)
     grouped = common.cut(reps.join(members.select("id").distinct(), "id", "left_semi").select("id", "fp", F.col("least").alias("doc_id"), "n_shingles", "sig"))
     full = full_sets(grouped.select("id", "fp", "doc_id"), docs, shingle_words)
     links = confirmed(members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")), grouped, full, limit, percent)
     found = connected(links)
+    common.drop_shuffles(spark)
 
     def open_groups():
         """Members of groups that still hold several components, with a member drawn from each."""
@@ -361,9 +364,12 @@ def linked(docs: DataFrame, shingle_words: int = 5, percent: int = 80, named: tu
 
     pairs = open_groups().where(F.col("comp") != F.col("h.comp")).select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).distinct()
     links = links.union(confirmed(pairs, grouped, full, limit, percent))
+    common.drop_shuffles(spark)
     found = connected(links)
+    common.drop_shuffles(spark)
     rest = tiled(open_groups().select("hub", "id", "comp"), grouped.select("id", "n_shingles", "sig"), full, percent, count)
     found = connected(links.union(rest.mapInPandas(_tiles(limit, distance_limit(percent / 100, SKETCH, 4), percent), "a long, b long")))
+    common.drop_shuffles(spark)
     of_set = common.cut(reps.select("id", "fp", "least").join(found, "id", "left").select("fp", "least", F.coalesce("comp", "id").alias("comp")))
     whole = of_set.join(of_set.groupBy("comp").agg(F.min("least").alias("component")), "comp")
     some = lambda c: F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c)
