@@ -186,3 +186,30 @@ def test_curve_store(spark, tmp_path):
     few.add_documents(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"))
     with pytest.raises(ValueError):
         few.fit()
+
+
+def test_curve_search_copies_no_vector_a_pair(spark):
+    """Pairs of the pool meet as numbers in tiles, and the components are in no plan that the driver keeps."""
+    from curvespark.operators import curve_store
+
+    rng = np.random.default_rng(3)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice([f"w{j}" for j in range(30)], 6))) for i in range(60)], "doc_id long, text string")
+    rows = curve_store.cut(curve_store.text_curves(docs))
+    asked = rows.where("doc_id % 10 = 0").select("doc_id")
+    scores = store.principal_scores(rows, "doc_id", "v", 3)
+    assert len(scores._jdf.queryExecution().toString()) < 20_000 and scores.count() == 60
+    assert store.principal_scores(rows.limit(0), "doc_id", "v", 3).count() == 0
+    plan = curve_store.search(rows, asked, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "qv#" not in plan
+
+
+@pytest.mark.parametrize("metric", ["frechet", "dtw"])
+def test_screens_are_bounds(metric):
+    from curvespark.operators import curve_store
+
+    rng = np.random.default_rng(4)
+    many = rng.normal(size=(40, curve_store.SAMPLES, curve_store.DIMS))
+    many[1] = many[0]
+    got = curve_store.distances(metric, np.repeat(many[:1], 40, axis=0), many)
+    assert (curve_store.screened(metric, many[0], many) <= got).all() and got[1] == 0
+    assert np.allclose(got, [curve_store.METRICS[metric](many[0], p) for p in many], rtol=1e-12, atol=0)
