@@ -173,3 +173,19 @@ def test_streamed_batches_replace_themselves(spark, tmp_path):
     assert first == list(range(20))
     ingest.append_vectors(stream, lambda b: b.select("id", (F.col("id") * 2).alias("key")), f"{tmp_path}/out", f"{tmp_path}/other").awaitTermination(100)
     assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == first
+
+
+def test_most_similar(spark):
+    """Tiles leave the true best of ties and odd vectors, as cosine_batch ranks every pair; no vector is copied a pair."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(300, 6))
+    v[100:140], v[200:205] = v[0], v[0] * 2  # more equals than k, and equals but for rounding
+    rows = [(i, x.tolist(), None if i == 7 else i % 3) for i, x in enumerate(v)]
+    rows += [(300, None, 1), (301, [1.0, None, 0, 0, 0, 0], 1), (302, [float("nan")] * 6, 2), (303, [1.0], 2), (304, [0.0] * 6, 0), (305, v[0].tolist(), 0), (305, v[0].tolist(), 0)]
+    df = spark.createDataFrame([(i, x and [None if y is None else float(y) for y in x], m) for i, x, m in rows], "id long, v array<double>, mark int").repartition(3)
+    q = df.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.col("mark").alias("q_mark"))
+    pairs = V.against_all(df, q, "id").where("id <> query_id").withColumn("sim", F.round(V.cosine_batch(F.col("q"), F.col("v")), 6))
+    names = ("query_id", "rank", "id", "sim", "mark", "q_mark")
+    told = lambda x: sorted(tuple(map(str, r)) for r in x.select(*names[:4], *[F.col(c).cast("int") for c in names[4:]]).collect())
+    for k in (4, 400):
+        assert told(V.most_similar(df, q, k)) == told(V.ranked(pairs, "query_id", "sim", "id", k))
