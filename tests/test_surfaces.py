@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from curvespark.functions import codec, curves, frechet, splines, udf
+from curvespark.functions import codec, curves, fits, frechet, splines, udf
 from curvespark.operators import experiments, store, sweeps, tracks
 from curvespark.operators import vectors as V
 from curvespark.sources import synth
@@ -189,3 +189,19 @@ def test_most_similar(spark):
     told = lambda x: sorted(tuple(map(str, r)) for r in x.select(*names[:4], *[F.col(c).cast("int") for c in names[4:]]).collect())
     for k in (4, 400):
         assert told(V.most_similar(df, q, k)) == told(V.ranked(pairs, "query_id", "sim", "id", k))
+
+
+def test_certificates_of_many(spark):
+    """Fits certified in lockstep are as one by one, and copies of a track share one result."""
+    rng = np.random.default_rng(5)
+    tracks_ = [(np.sort(rng.uniform(0, 9, n)), rng.normal(size=(n, 2)).cumsum(axis=0) * 40) for n in (2, 5, 30, 31, 12)]
+    got = experiments.certified_fits(tracks_, 50.0, 10.0, 5.0)
+    for (t, p), (status, eps, true, margin, levels) in zip(tracks_, got):
+        f = fits.fit(t, p, 50.0)
+        assert status == "pass" and eps == splines.certify_spline(p, f.knots, f.control, f.degree, 10.0, 1e-3)[1]
+        line = splines.linearise(splines.bezier_pieces(f.knots, f.control, f.degree), 5.0, levels)[0]
+        assert true == frechet.distance_many([p], [line], 1e-3)[0] and margin == eps - true
+    rows = [(10 * copy + i, j, float(t[j]), float(p[j, 0]), float(p[j, 1])) for copy in range(3) for i, (t, p) in enumerate(tracks_) for j in range(len(t))]
+    rows += [(90, 0, 0.0, 1.0, 1.0), (91, 0, 0.0, 0.0, 0.0), (91, 1, 0.0, 1.0, 1.0)]  # one point; time that stands
+    table = experiments.certificates(spark.createDataFrame(rows, "track long, seq long, t double, x double, y double"), 50.0, 10.0, 5.0)
+    assert {r["track"]: tuple(r)[1:] for r in table.collect()} == {10 * copy + i: x for copy in range(3) for i, x in enumerate(got)}
