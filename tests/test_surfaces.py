@@ -205,3 +205,18 @@ def test_certificates_of_many(spark):
     rows += [(90, 0, 0.0, 1.0, 1.0), (91, 0, 0.0, 0.0, 0.0), (91, 1, 0.0, 1.0, 1.0)]  # one point; time that stands
     table = experiments.certificates(spark.createDataFrame(rows, "track long, seq long, t double, x double, y double"), 50.0, 10.0, 5.0)
     assert {r["track"]: tuple(r)[1:] for r in table.collect()} == {10 * copy + i: x for copy in range(3) for i, x in enumerate(got)}
+
+
+def test_bounds_round_as_sql_states_them(spark):
+    """At a radius' edge the root of the sum of squares decides, as in the SQL; hypot rounds some of these up, over the radius."""
+    import math
+
+    rng = np.random.default_rng(11)
+    dx = np.round(rng.uniform(50, 190, 200_000), 2)
+    dy = np.sqrt(200.0**2 - dx * dx)
+    edge = [(float(x), float(y)) for x, y in zip(dx, dy) if math.sqrt(x * x + y * y) <= 200 < math.hypot(x, y)][:50]
+    assert len(edge) > 10
+    names = ("track", "x0", "y0", "xn", "yn", "xmin", "xmax", "ymin", "ymax")
+    frame = lambda rows: spark.createDataFrame([(i, x, y, x, y, x, x, y, y) for i, x, y in rows], ", ".join(f"{n} {'long' if n == 'track' else 'double'}" for n in names))
+    got = tracks.candidate_pairs(frame([(-1, 0.0, 0.0)]), frame([(i, *p) for i, p in enumerate(edge)]), 200.0).collect()
+    assert {r["c"]: r["lb"] for r in got} == {i: math.sqrt(x * x + y * y) for i, (x, y) in enumerate(edge)}
