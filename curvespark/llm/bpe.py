@@ -352,10 +352,10 @@ class TrieBPE:
             which[[w for w, _ in added]] = len(coded.dictionary) + np.arange(len(added))
             ids = np.append(ids, [i for _, i in added])
         count = count[which]
-        ids = ids[ragged(first[which], count)]
+        ids = ids[common.ragged(first[which], count)]
         decimal = self.decimal[ids].ravel()
         decimal = decimal[decimal != 0].tobytes().decode("ascii")
-        back = self.all_bytes[ragged(self.bytes_at[ids], self.bytes_n[ids])].tobytes()
+        back = self.all_bytes[common.ragged(self.bytes_at[ids], self.bytes_n[ids])].tobytes()
         upto = lambda n, at: np.concatenate(([0], np.cumsum(n)))[at]
         at = upto(count, upto(n_words, np.arange(len(texts) + 1)))
         decimal_at, back_at = upto(self.decimal_n[ids], at).tolist(), upto(self.bytes_n[ids], at).tolist()
@@ -363,12 +363,6 @@ class TrieBPE:
             yield decimal[decimal_at[i] : max(decimal_at[i + 1] - 1, decimal_at[i])], n, back[back_at[i] : back_at[i + 1]].decode("utf-8", "replace")
 
 
-def ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The places first[i] to first[i] + count[i], of all i in turn."""
-    stop = np.cumsum(count)
-    return np.repeat(first - (stop - count), count) + np.arange(stop[-1] if len(stop) else 0)
-
-
 #: A worker's encoders stay for its next tasks.
 _READY: dict[str, TrieBPE] = {}
 

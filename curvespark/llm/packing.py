@@ -24,11 +24,14 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common
+from . import bpe, common
 
 WINDOW, LEAST, BLOCK_TOKENS, STEP = 2048, 128, 4_000_000, 8
+#: Characters of texts that are encoded together.
+SLICE = 4_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 #: Words that an encoder keeps, twice over at most; fewer take less memory and more time.
 CACHE = 400_000
@@ -45,7 +48,7 @@ def letters(word: str) -> bool:
 
 
 class WordEncoder:
-    """Ids of whole texts by a tokenizer whose tokens never cross white space: each distinct word is encoded once."""
+    """Ids of whole texts by a tokenizer whose tokens never cross white space: each distinct word is encoded once, for all texts at hand."""
 
     def __init__(self, path: str, end_id: int = 1, cache: int = CACHE):
         from tokenizers import Tokenizer
@@ -56,35 +59,80 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = np.array([end_id], "<u4")
+        suffix, self.ends = getattr(self.tokenizer.model, "end_of_word_suffix", None), None
+        if suffix:
+            tokens = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(tokens.values()) + 1, bool)
+            self.ends[[i for t, i in tokens.items() if t.endswith(suffix)]] = True
+        self.kinds = bpe.kinds()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
 
     def __call__(self, text: str | None) -> np.ndarray:
-        if not text:
-            return self.end
-        if any(s in text for s in self.special):
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-            return np.concatenate((ids, self.end))
-        low = text.lower()
-        if not text.isascii():
+        return self.many([text])[0]
+
+    def many(self, texts: list) -> list[np.ndarray]:
+        """Each text's ids and the end id."""
+        out, plain, rows = [self.end] * len(texts), [], []
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if any(s in text for s in self.special):
+                ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+                out[i] = np.concatenate((ids, self.end))
+                continue
+            low = text.lower()
             # case only differs by single letters, but for these two; the tokenizer composes (NFC) before it lowers,
             # so where either form would still compose, the words are left to it as they are
-            composed = unicodedata.is_normalized("NFC", low) and unicodedata.is_normalized("NFC", text)
-            if not composed or "\u03a3" in text or "\u0130" in text:
-                low = text
-        parts = [w for w in SPACE.split(low) if w] if ODD.search(low) else low.split()
-        return np.concatenate((np.frombuffer(b"".join(self.learned(parts)), "<u4"), self.end))
+            if text.isascii() or unicodedata.is_normalized("NFC", low) and unicodedata.is_normalized("NFC", text) and "\u03a3" not in text and "\u0130" not in text:
+                plain.append(low)
+                rows.append(i)
+            else:
+                words = [w for w in SPACE.split(text) if w] if ODD.search(text) else text.split()
+                known = dict(zip(distinct := list(set(words)), self.learned(distinct)))
+                out[i] = np.concatenate((np.frombuffer(b"".join([known[w] for w in words]), "<u4"), self.end))
+        if plain:
+            coded, counts = self.cut(plain)
+            ids, which = self.learned(coded.dictionary.cast(pa.large_string()).to_pylist()), coded.indices.to_numpy()
+            size = np.array([len(b) for b in ids], int) // 4
+            count = size[which]
+            tokens = np.frombuffer(b"".join(ids), "<u4")[common.ragged((np.cumsum(size) - size)[which], count)]
+            upto = np.concatenate(([0], np.cumsum(count)))[np.concatenate(([0], np.cumsum(counts)))].tolist()
+            for i, a, b in zip(rows, upto, upto[1:]):
+                out[i] = np.concatenate((tokens[a:b], self.end))
+        return out
+
+    def cut(self, texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The pieces that the tokenizer encodes on their own, of lowered texts, and how many each text has: letters, a
+        number's digit, other marks, or an apostrophe with what it shortens."""
+        code = np.frombuffer("\n".join([*texts, "\n\n"]).encode("utf-32-le"), np.uint32)
+        kind = self.kinds[code]
+        begins = np.concatenate(([True], (kind[1:] != kind[:-1]) | (kind[1:] == bpe.NUMBER))) & (kind != bpe.SPACE)
+        quote = np.flatnonzero(begins & (code == 39))
+        one = np.isin(code[quote + 1], [ord(c) for c in "stmd"])
+        pair = quote[~one & (code[quote + 1] < 128)]
+        pair = pair[np.isin(code[pair + 1] << 8 | code[pair + 2], [ord(a) << 8 | ord(b) for a, b in ("re", "ve", "ll")])]
+        for at, n in ((quote[one], 2), (pair, 3)):
+            begins[at + 1] = False
+            begins[at + n] |= kind[at + n] == bpe.LETTER
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        counts = np.diff(np.searchsorted(np.flatnonzero(begins), ends), prepend=0)
+        solid = kind != bpe.SPACE
+        code, at = code[solid], np.flatnonzero(begins[solid])
+        at = np.append(at, len(code))
+        if len(code) and code.max() > 127:
+            at = np.concatenate(([0], np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF), dtype=np.int64)))[at]
+        data = code.tobytes().decode("utf-32-le").encode()
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)])
+        return pieces.dictionary_encode(), counts
 
     def learned(self, parts: list[str]) -> list[bytes]:
-        try:
-            return [self.known[w] for w in parts]
-        except KeyError:
-            pass
+        """Ids of distinct words."""
         if len(self.known) > self.cache:
             self.older, self.known = self.known, {}
         known, older, new, split = self.known, self.older, set(), []
-        for w in set(parts):
+        for w in parts:
             if w not in known:
                 if w in older:
                     known[w] = older[w]
@@ -100,18 +148,24 @@ class WordEncoder:
                         new.add(core)
         if new:  # letters are one piece each, so the pieces of a joined text are the words
             words = list(new)
-            e = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-            at = np.concatenate((np.flatnonzero(np.diff(np.array(e.word_ids), prepend=-1)), [len(e.ids)])) if e.ids else [0]
-            ids = np.array(e.ids, "<u4")
+            ids, at = self.pieces(" ".join(words))
             if len(at) == len(words) + 1:
-                for i, w in enumerate(words):
-                    known[w] = ids[at[i] : at[i + 1]].tobytes()
+                ids = ids.tobytes()
+                known.update((w, ids[4 * a : 4 * b]) for w, a, b in zip(words, at, at[1:]))
             else:
                 known.update((w, self.one(w)) for w in words)
         for w, core in split:
             known[w] = known[core] + self.tails[w[len(core) :]] if letters(core) and w != core else self.one(w)
         return [known[w] for w in parts]
 
+    def pieces(self, text: str) -> tuple[np.ndarray, list[int]]:
+        """A text's ids and where its pieces begin and end. Where tokens say that they end a piece, the library need not keep track of it."""
+        if self.ends is None:
+            e = self.tokenizer.encode(text, add_special_tokens=False)
+            return np.array(e.ids, "<u4"), np.flatnonzero(np.diff(np.array(e.word_ids, int), prepend=-1, append=-1)).tolist()
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        return ids, [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
+
     def one(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -243,14 +297,15 @@ def packer(path: str, window: int = WINDOW, end_id: int = 1, block_tokens: int =
             return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
         held, total = [], 0
-        for batch in batches:
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                ids = encode(text)
-                held.append((doc, ids))
-                total += len(ids)
-                if total >= block_tokens:
-                    yield flush(held)
-                    held, total = [], 0
+        for batch in common.gathered(batches, limit=SLICE):
+            texts = batch["text"].tolist()
+            for a, b in common.slices(texts, SLICE):
+                for doc, ids in zip(batch["doc_id"][a:b], encode.many(texts[a:b])):
+                    held.append((doc, ids))
+                    total += len(ids)
+                    if total >= block_tokens:
+                        yield flush(held)
+                        held, total = [], 0
         if held:
             yield flush(held)
 

@@ -350,6 +350,36 @@ def test_packing_encodes_like_the_library():
         assert encode(x).tolist() == [*t.encode(x, add_special_tokens=False).ids, 1], x
 
 
+def test_packing_encodes_texts_together(monkeypatch):
+    import pandas as pd
+    import public_tokenizers
+    import pyspark
+    from tokenizers import Tokenizer
+
+    from curvespark.llm import packing
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, encode, calls = Tokenizer.from_file(path), packing.WordEncoder(path), []
+
+    class Counted:
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(t, name)
+
+    encode.tokenizer = Counted()
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=9)) for _ in range(5)) + "." for _ in range(300)]
+    monkeypatch.setattr(pyspark.TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": staticmethod(lambda: 0)})))
+    monkeypatch.setitem(packing._READY, (path, 1, packing.CACHE), encode)
+    out = pd.concat(packing.packer(path)(iter([pd.DataFrame({"doc_id": range(300), "text": texts})])))
+    assert len(calls) < 10
+    assert out.groupby("doc_id").length.sum().tolist() == [len(t.encode(x, add_special_tokens=False).ids) + 1 for x in texts]
+    pools = ["abc DEF'.,! 12", "'stmdrevl SLREx' ", "'\u0665\u00b2\u2167x \n\t\x1c\x85\u00e9\u00dc", "".join(map(chr, range(0x20, 0x250))), "\u6f22\ud55c\U0001f600\u0301\u03a3\u0130\u0394", "\ua7ce\U00010940\ua7cb\U00010d50"]
+    odd = ["".join(rng.choice(rng.choice(pools)) if rng.random() < 0.95 else rng.choice(["<|endoftext|>", "we'll ", "I'VE"]) for _ in range(rng.randrange(25))) for _ in range(6000)] + [None, "", " ", "'", "'l", "x'r", "'s"]
+    for x, ids in zip(odd, packing.WordEncoder(path).many(odd), strict=True):
+        assert ids.tolist() == [*t.encode(x or "", add_special_tokens=False).ids, 1], x
+
+
 def test_packing_tiers_gaps_and_steps():
     import pandas as pd
     import public_tokenizers
