@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from curvespark.functions import curves, frechet
-from curvespark.operators import store, sweeps
+from curvespark.operators import experiments, store, sweeps
 
 
 def walks(seed, count, most=40):
@@ -77,3 +77,13 @@ def test_error_rates_of_shapes_are_those_of_tracks(spark, copied):
     told, wholes = sweeps.approximate_shapes(points, points, 40.0, 15.0)
     hits = sum(frechet.decide(tracks[a], tracks[b], 40.0) for a in tracks for b in tracks if a != b)
     assert sweeps.error_rates(store.counted(told, *wholes)).first()["hits"] == hits
+
+
+def test_range_report_counts_copies(spark, copied):
+    """Shapes that stand for their copies give the report of all tracks."""
+    tracks, points = copied
+    few = points.where("track IN (0, 3, 100, 207, 8)")
+    got = experiments.range_shapes(few, points, 5.0, 5.0, [30.0, 60.0])
+    key = lambda df: sorted(tuple(map(str, r)) for r in df.collect())
+    assert key(experiments.outcome_report(got)) == key(experiments.outcome_report(experiments.range_outcomes(few, points, experiments.representations(points, 5.0, 5.0), [30.0, 60.0])))
+    assert got.where("q > 11 OR c > 11").count() == 0
